@@ -5,6 +5,7 @@ from gleaner.llm import op1_quality_rules as op1
 from gleaner.llm import op2_jaccard_join as op2
 from gleaner.llm import op3_wavelet as op3
 from gleaner.llm import op5_topk as op5
+from gleaner.llm import op6_warc as op6
 from gleaner.llm import op7_toxicity as op7
 from gleaner.llm import op8_token_counts as op8
 from gleaner.llm import op9_best_fit_packing as op9
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_jaccard_join": op2.op2_jaccard_join,
     "op3_wavelet_shards": op3.op3_wavelet_shards,
     "op5_exact_topk": op5.op5_exact_topk,
+    "op6_warc_revisits": op6.op6_warc_revisits,
     "op7_toxicity": op7.op7_toxicity,
     "op8_token_counts": op8.op8_token_counts,
     "op9_best_fit_packing": op9.op9_best_fit_packing,
@@ -25,5 +27,6 @@ QUERIES = {
 SQL = {
     "op1_quality_rules": op1.SQL,
     "op5_exact_topk": op5.SQL,
+    "op6_warc_revisits": op6.SQL,
     "op10_quality_classifier": op10.SQL,
 }
