@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -27,6 +27,8 @@ from gleaner.llm.op9_best_fit_packing import _runs
 
 K = 10
 BLOCK = 16_384
+#: Queries of a task; a block of data goes to every such chunk of queries.
+ASKED = 4096
 DIGITS = 6
 
 
@@ -56,7 +58,7 @@ class Lists:
         seen = np.zeros(n, bool)
         seen[self.ids == me] = True
         ids, scores = np.zeros(0, np.int64), np.zeros(0)
-        depth, step = 0, max(8, k)
+        depth, step, every = 0, max(32, k), None
         while depth < n:
             to = min(n, depth + step)
             up = self.order[active[~forward], depth:to]
@@ -66,7 +68,9 @@ class Lists:
             met[down.ravel()] = True
             new = np.flatnonzero(met & ~seen)
             seen[new] = True
-            got = np.round(self.x[new] @ q, DIGITS) + 0.0
+            if every is None and len(new) * 8 > n:
+                every = self.x @ q  # so many rows are cheaper to score in one go than to gather
+            got = np.round(every[new] if every is not None else self.x[new] @ q, DIGITS) + 0.0
             ids, scores = np.concatenate([ids, self.ids[new]]), np.concatenate([scores, got])
             if len(ids) > k:
                 if len(ids) > 4 * k:
@@ -74,7 +78,7 @@ class Lists:
                     ids, scores = ids[scores >= kth], scores[scores >= kth]
                 best = np.lexsort((ids, -scores))[:k]
                 ids, scores = ids[best], scores[best]
-            depth, step = to, step * 2
+            depth, step = to, step * 4
             edge = np.where(forward, self.sorted[active, n - depth], self.sorted[active, depth - 1])
             if len(ids) >= k and float(q[active] @ edge) < scores.min() - 10.0**-DIGITS:
                 break
@@ -82,14 +86,20 @@ class Lists:
         return ids[best], scores[best], depth
 
 
-def top_k(df: DataFrame, k: int = K, block: int = BLOCK, key: str = "vec_id", column: str = "embedding") -> DataFrame:
+def top_k(df: DataFrame, k: int = K, block: int = BLOCK, asked: int = ASKED, key: str = "vec_id", column: str = "embedding") -> DataFrame:
     """vec_id, rank, neighbour, score."""
     base = materialize(vectors(df, key, column), "vectors")
-    n = max(1, -(-base.count() // block))
-    own = F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    data = base.select("dims", own.alias("db"), every.alias("qb"), F.lit(0).alias("kind"), "vec_id", "e")
-    asks = base.select("dims", every.alias("db"), own.alias("qb"), F.lit(1).alias("kind"), "vec_id", "e")
+    count = base.count()
+    n, m = max(1, -(-count // block)), max(1, -(-count // asked))
+
+    def own(k: int) -> Column:
+        return F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int")
+
+    def each(k: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+
+    data = base.select("dims", own(n).alias("db"), each(m).alias("qb"), F.lit(0).alias("kind"), "vec_id", "e")
+    asks = base.select("dims", each(n).alias("db"), own(m).alias("qb"), F.lit(1).alias("kind"), "vec_id", "e")
     unit = F.xxhash64("dims", "db", "qb").alias("unit")
     rows = data.union(asks).select(unit, "kind", "vec_id", "e", "dims")
 
@@ -101,14 +111,14 @@ def top_k(df: DataFrame, k: int = K, block: int = BLOCK, key: str = "vec_id", co
             lists = Lists(ids[kind == 0], x[kind == 0])
             if not len(lists.ids):
                 continue
-            asked, found, scores = [], [], []
+            who, found, scores = [], [], []
             for me, q in zip(ids[kind == 1], x[kind == 1]):
                 i, s, _ = lists.top(me, q, k)
-                asked.append(np.full(len(i), me))
+                who.append(np.full(len(i), me))
                 found.append(i)
                 scores.append(s)
-            if asked:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(asked)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], ["vec_id", "neighbour", "score"])
+            if who:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(who)), pa.array(np.concatenate(found)), pa.array(np.concatenate(scores))], ["vec_id", "neighbour", "score"])
 
     found = rows.repartition("unit").sortWithinPartitions("unit", "kind", "vec_id").mapInArrow(run, "vec_id bigint, neighbour bigint, score double")
     w = Window.partitionBy("vec_id").orderBy(F.desc("score"), "neighbour")

@@ -28,7 +28,7 @@ from gleaner.llm.common import table
 from gleaner.llm.ngrams import hash32, minhash, normal_words, shingles
 
 #: Bound of the sample that is fitted, in documents.
-LABELLED = 20_000
+LABELLED = 10_000
 PREFIXES = (4, 5, 6)
 #: So many words of one prefix in a document are a term of their own.
 FORMS = (2, 3)
@@ -37,6 +37,7 @@ SCREEN = 3.3
 LEAST = 4
 LEAST_ODDS = 1.5
 THRESHOLD = 0.5
+PART = 1000
 
 
 def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -61,19 +62,22 @@ def terms(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (found >> np.uint64(32)).astype(np.int64), (found & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def without_copies(texts: pa.Array) -> np.ndarray:
-    """Rows to keep: those none of whose four minhashes was seen before."""
-    sets, sizes = shingles(texts, 3)
-    keys = minhash(sets, sizes, 4)
-    seen: tuple[set, ...] = (set(), set(), set(), set())
-    keep = []
-    for i, row in enumerate(keys.tolist()):
-        if sizes[i] and any(k in s for k, s in zip(row, seen)):
-            continue
-        keep.append(i)
-        for k, s in zip(row, seen):
-            s.add(k)
-    return np.array(keep, np.int64)
+class Copies:
+    """Tells texts none of whose four minhashes was seen before."""
+
+    def __init__(self):
+        self.seen: tuple[set, ...] = (set(), set(), set(), set())
+
+    def fresh(self, texts: pa.Array) -> np.ndarray:
+        sets, sizes = shingles(texts, 3)
+        keep = []
+        for i, row in enumerate(minhash(sets, sizes, 4).tolist()):
+            if sizes[i] and any(k in s for k, s in zip(row, self.seen)):
+                continue
+            keep.append(i)
+            for k, s in zip(row, self.seen):
+                s.add(k)
+        return np.array(keep, np.int64)
 
 
 class Machine:
@@ -106,12 +110,18 @@ def fit(doc: np.ndarray, term: np.ndarray, y: np.ndarray, epochs: int = 150, rat
     none = Machine(np.zeros(0, np.uint32), np.zeros(0), np.zeros((0, FACTORS)), -30.0)
     if not n1 or not n0:
         return none
-    found, at = np.unique(term, return_inverse=True)
+    found, count = np.unique(term, return_counts=True)
+    found = found[count >= LEAST]
+    if not len(found):
+        return none
+    at = np.minimum(np.searchsorted(found, term), len(found) - 1)
+    often = found[at] == term
+    doc, at = doc[often], at[often]
     a = np.bincount(at, y[doc], len(found))
     b = np.bincount(at, 1 - y[doc], len(found))
     odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
     error = np.sqrt(1 / (a + 0.5) + 1 / (b + 0.5))
-    good = (np.abs(odds) >= np.maximum(SCREEN * error, LEAST_ODDS)) & (a + b >= LEAST)
+    good = np.abs(odds) >= np.maximum(SCREEN * error, LEAST_ODDS)
     new = np.cumsum(good) - 1
     use = good[at]
     doc, at = doc[use], new[at[use]]
@@ -142,22 +152,26 @@ def train(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) -> Machine:
     """Fits in one task; the model alone comes to the driver."""
     said = labels.where("doc_id is not null").groupBy("doc_id").agg((F.avg("toxic") >= 0.5).alias("y")).where("y is not null")
     said = said.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    sample = docs.select("doc_id", "text").join(said, "doc_id").select("text", F.col("y").cast("int"))
+    # at most `bound` rows of two columns are broadcast, so that no text is shuffled
+    sample = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(said), "doc_id").select("text", F.col("y").cast("int"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
+        copies, docs_of, terms_of, y, n = Copies(), [], [], [], 0
+        for b in batches:
+            for at in range(0, b.num_rows, PART):
+                part = b.slice(at, PART)
+                keep = copies.fresh(part.column(0))
+                doc, term = terms(part.column(0).take(pa.array(keep)))
+                docs_of.append((doc + n).astype(np.int32))
+                terms_of.append(term)
+                y.append(part.column(1).to_numpy().astype(float)[keep])
+                n += len(keep)
+        if not n:
             return
-        t = pa.Table.from_batches(held)
-        text = t.column(0).combine_chunks()
-        order = pc.sort_indices(pa.table({"t": text, "y": t.column(1)}), [("t", "ascending"), ("y", "ascending")])
-        text = text.take(order)
-        keep = without_copies(text)
-        y = t.column(1).combine_chunks().take(order).to_numpy().astype(float)[keep]
-        m = fit(*terms(text.take(pa.array(keep))), y)
+        m = fit(np.concatenate(docs_of), np.concatenate(terms_of), np.concatenate(y))
         yield pa.RecordBatch.from_arrays([pa.array([m.term.tobytes()]), pa.array([m.w.tobytes()]), pa.array([m.v.tobytes()]), pa.array([m.w0])], ["term", "w", "v", "w0"])
 
-    rows = sample.coalesce(1).mapInArrow(run, "term binary, w binary, v binary, w0 double").collect()
+    rows = sample.repartition(1).sortWithinPartitions("text", "y").mapInArrow(run, "term binary, w binary, v binary, w0 double").collect()
     if not rows:
         return fit(np.zeros(0, np.int64), np.zeros(0, np.uint32), np.zeros(0))
     r = rows[0]
@@ -169,8 +183,8 @@ def scored(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 2000):
-                p = b.slice(at, 2000)
+            for at in range(0, b.num_rows, PART):
+                p = b.slice(at, PART)
                 yield pa.RecordBatch.from_arrays([p.column(0), pa.array(shared.value.score(p.column(1)))], ["doc_id", "p_toxic"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, p_toxic double")
