@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from gleaner.functions.text import SPACE, strip
 
-NOISE = r"(?i)\b(?:posted|published|added|submitted|updated|created|on|at|by|date|last modified)\b[:" + SPACE + "]*"
-RELATIVE = rf"(?i)(\d+)[{SPACE}]+(second|minute|hour|day|week|month|year)s?[{SPACE}]+ago"
+NOISE_WORDS = ["last modified", *"added at by created date on posted published submitted updated".split()]
+NOISE = rf"(?i)\b(?:{'|'.join(NOISE_WORDS)})\b[:{SPACE}]*"
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 30 * 86400, "year": 365 * 86400}
+RELATIVE = rf"(?i)(\d+)[{SPACE}]+({'|'.join(SECONDS)})s?[{SPACE}]+ago"
 #: Shape, and pattern of the parser, in the order of precedence. A weekday is cut off first: the parser takes none.
 SHAPES = [
     (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "y-M-d H:m:s"),

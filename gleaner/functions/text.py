@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 #: Horizontal white space, and all white space, spelt out so that no engine's own classes matter.
 RUN = r"[\t \x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
@@ -14,7 +15,7 @@ SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029
 WORD = r"\p{L}\p{N}_"
 SEPARATOR = "\n\n---\n### Source & Archival Attribution\n"
 MISSING = "not listed on source page"
-STOP_TERMS = ("stories", "story", "home", "all", "categories", "tags", "more")
+STOP_TERMS = "all categories home more stories story tags".split()
 
 
 def unicode_form(form: str):
@@ -27,7 +28,7 @@ def unicode_form(form: str):
     return run
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(s: pd.Series) -> pd.Series:
     """Compatibility form and full case folding."""
     return s.map(lambda x: unicodedata.normalize("NFKC", x).casefold(), na_action="ignore")
@@ -62,7 +63,7 @@ def clean_inline(c: Column, nfc: bool = False) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.regexp_count(c, F.lit(rf"[{WORD}\x{2019}'\-]+"))
+    return F.regexp_count(c, F.lit(rf"[{WORD}\x{{2019}}'\-]+"))
 
 
 def content_hash(paragraphs: Column) -> Column:

@@ -7,12 +7,13 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from gleaner.functions.text import strip
 
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
-TRACKING_PREFIXES = ("utm_", "fbclid", "gclid", "mc_", "ref_", "_ga")
-TRACKING = ("ref", "referrer", "source", "share", "from")
+TRACKING_PREFIXES = "_ga fbclid gclid mc_ ref_ utm_".split()
+TRACKING = "from ref referrer share source".split()
 
 
 def part(url: Column, n: int) -> Column:
@@ -68,7 +69,7 @@ def normalize_url(url: Column, drop_query: bool = False, keep_params: set[str] |
     u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
     scheme = F.lower(F.coalesce(F.nullif(part(u, 1), F.lit("")), F.lit("https")))
     s = server(u)
-    digits = F.regexp_extract(s, r":([^:\]]*)$", 1)
+    digits = F.regexp_extract(s, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
     number = F.when(digits.rlike("^[0-9]{1,9}$"), digits.try_cast("int"))
     bad = (digits != "") & (number.isNull() | (number > 65535))
     usual = ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)) | (number == 0)
@@ -82,7 +83,7 @@ def normalize_url(url: Column, drop_query: bool = False, keep_params: set[str] |
     return F.when(~bad, out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def joined(base: pd.Series, href: pd.Series) -> pd.Series:
     """Relative references with dot segments, which need a loop."""
     return pd.Series([None if b is None or h is None else urljoin(b, h) for b, h in zip(base, href)], dtype=object)
