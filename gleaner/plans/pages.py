@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from gleaner.functions.html import parsed_page
 from gleaner.functions.urls import host_of, normalize_url
 from gleaner.operators.classify import DEFAULT, Taxonomy, classified
-from gleaner.operators.records import build_records
+from gleaner.operators.records import build_records, to_dict
 
 CLASSES = "primary_niche target_funnel recommended_affiliate seo_slug".split()
 
@@ -63,3 +63,12 @@ def page_records(pages: DataFrame, site: Site, as_of: Column, taxonomy: Taxonomy
     records = build_records(parsed, site.site_id, site.display_name, host_of(F.col("source_url")), site.license_note, site.adapter_version, as_of)
     out = classified(records.drop(*CLASSES, "classification_confidence"), taxonomy)
     return out.withColumnRenamed("confidence", "classification_confidence")
+
+
+def probe(pages: DataFrame, site: Site, url: str, as_of: Column, taxonomy: Taxonomy = DEFAULT, save_html: str | None = None) -> dict | None:
+    """The record of one page as a dict, for a look at it; None if the corpus hasn't the page. Raw HTML goes to `save_html`."""
+    page = pages.where(F.col("url") == url).limit(1)
+    if save_html:
+        page.select("html").write.mode("overwrite").parquet(save_html)
+    found = to_dict(page_records(page, site, as_of, taxonomy)).head()
+    return None if found is None else found.asDict(recursive=True)

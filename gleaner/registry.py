@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from gleaner import fixtures as X
 from gleaner.functions import dates, urls
@@ -289,7 +290,7 @@ def _drained(spark: SparkSession, df: DataFrame, tag: str, mode: str = "append")
 
     q = df.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(df.schema.add("batch", "bigint")).parquet(out)
+    return spark.read.schema(StructType([*df.schema.fields, StructField("batch", LongType())])).parquet(out)
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Edge cases that no test table holds, by values worked out by hand or by plain Python."""
 
+import json
 import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
@@ -8,10 +9,12 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from gleaner import logs
 from gleaner.functions import dates, urls
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.operators import classify, discover, metrics, pacing, records, robots, store
+from gleaner.plans.pages import Site, probe
 from gleaner.sources import io
 from gleaner.streaming import streams
 
@@ -336,3 +339,27 @@ def test_stream_store_replays(spark, tmp_path):
 def test_html_never_fails(text):
     r = H.parse(f"<div><p>{text}<a href={text}>")
     assert all(unicodedata.normalize("NFC", p) == p and p.strip() for p in r["paragraphs"])
+
+
+def test_probe(spark, tmp_path):
+    site = Site("x", "X", "https://x.org/", "x.org", "/story/")
+    html = "<title>The boat</title><article>" + "<p>Some words about it.</p>" * 30 + "</article>"
+    pages = spark.createDataFrame([("https://x.org/story/1?utm_a=b", html)], "url string, html string")
+    r = probe(pages, site, "https://x.org/story/1?utm_a=b", now(), save_html=str(tmp_path / "p"))
+    assert r["dedup_key"] == r["canonical_url"] == "https://x.org/story/1" and r["title"] == "The boat" and r["paragraph_count"] == 30
+    assert r["flags"] == ["missing_author", "missing_date", "missing_tags"] and r["word_count"] == 120 and r["is_complete"]
+    assert r["primary_niche"] == "general" and "classification_confidence" not in r
+    assert probe(pages, site, "https://x.org/none", now()) is None
+    assert spark.read.parquet(str(tmp_path / "p")).head().html == html
+    assert [bool(x) for x in one(spark, ["https://x.org/story/1", "https://x.org/l"], site.is_story)] == [True, False]
+
+
+def test_logs(tmp_path, capsys):
+    path = tmp_path / "a" / "log"
+    logs.setup("INFO", str(path), as_json=True)
+    log = logs.Bound("gleaner.x", site="s", gone=1).bind(gone=None)
+    with log.timer("done", n=2):
+        pass
+    said = json.loads(path.read_text().splitlines()[-1])
+    assert (said["message"], said["site"], said["n"], said["level"]) == ("done", "s", 2, "INFO") and "gone" not in said and said["duration"] >= 0
+    logs.setup("WARNING", as_json=False)
