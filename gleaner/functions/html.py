@@ -34,7 +34,7 @@ CLOSES |= {k: ({"dt", "dd"}, {"dl"}) for k in ("dt", "dd")}
 CLOSES |= {k: ({"td", "th"}, {"table", "tr"}) for k in ("td", "th")}
 CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = BLOCK | {"hr", "aside", "footer", "form", "nav"} - {"tr"}
-RUN = re.compile("[ \\t\u00a0\u2000-\u200a\u202f\u205f\u3000]+")
+RUN = re.compile(f"[{''.join(map(chr, (9, 32, 160, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))}]+")
 HIDDEN = {"script", "style", "template"}
 
 SCHEMA = (
@@ -129,7 +129,7 @@ def prose(root: Node) -> str:
 
 
 def paragraphs(text: str) -> list[str]:
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
+    text = re.sub("\r\n?", "\n", text)
     text = text if text.isascii() else unicodedata.normalize("NFC", text)
     found = ([y for x in p.split("\n") if (y := RUN.sub(" ", x).strip())] for p in re.split("\n\n+", text))
     return ["\n".join(x) for x in found if x]
@@ -147,7 +147,8 @@ def plain(n: Node) -> str:
 
 
 def inline(text: str) -> str | None:
-    return RUN.sub(" ", unicodedata.normalize("NFC", text)).strip() or None
+    composed = text if text.isascii() else unicodedata.normalize("NFC", text)
+    return RUN.sub(" ", composed).strip() or None
 
 
 def measured(root: Node) -> list[tuple]:

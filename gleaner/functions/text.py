@@ -13,7 +13,7 @@ from pyspark.sql.types import StringType
 RUN = r"[\t \x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
 WORD = r"\p{L}\p{N}_"
-SEPARATOR = "\n\n---\n### Source & Archival Attribution\n"
+SEPARATOR = "\n".join(["", "", "---", "### Source & Archival Attribution", ""])
 MISSING = "not listed on source page"
 STOP_TERMS = "all categories home more stories story tags".split()
 
@@ -123,7 +123,7 @@ def with_attribution(body: Column, block: Column) -> Column:
 def slugify(c: Column, nfkd: bool = True) -> Column:
     """ASCII letters and digits joined by hyphens. Compatibility decomposition runs in Python, unless `nfkd` is off."""
     plain = F.regexp_replace(unicode_form("NFKD")(c) if nfkd else c, r"[^\x00-\x7f]", "")
-    slug = F.lower(F.regexp_replace(F.regexp_replace(plain, "[^a-zA-Z0-9]+", "-"), "^-+|-+$", ""))
+    slug = F.lower(F.regexp_replace(F.regexp_replace(plain, "[^0-9A-Za-z]+", "-"), "^-+|-+$", ""))
     return F.coalesce(F.nullif(slug, F.lit("")), F.lit("untitled"))
 
 

@@ -64,7 +64,7 @@ def query(raw: Column, keep: set[str] | None = None) -> Column:
     return F.array_join(F.transform(kept, lambda x: F.concat(encode(x["k"]), F.lit("="), encode(x["v"]))), "&")
 
 
-def normalize_url(url: Column, drop_query: bool = False, keep_params: set[str] | None = None) -> Column:
+def normalize_url(url: Column, keep_params: set[str] | None = None, drop_query: bool = False) -> Column:
     """Canonical form for comparison. A bad port gives NULL."""
     u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
     scheme = F.lower(F.coalesce(F.nullif(part(u, 1), F.lit("")), F.lit("https")))

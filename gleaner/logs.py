@@ -19,11 +19,11 @@ _OWN = set(vars(logging.makeLogRecord({}))) | {"message", "asctime", "taskName"}
 class JsonLines(logging.Formatter):
     """One object a line: the usual keys, then what was given as extra."""
 
-    def format(self, record: logging.LogRecord) -> str:
+    def format(self, record) -> str:
         usual = zip(("level", "logger", "message", "module", "function", "line"), (record.levelname, record.name, record.getMessage(), record.module, record.funcName, record.lineno))
-        said = {"timestamp": time.strftime("%Y-%m-%dT%H:%M:%S+00:00", time.gmtime(record.created)), **dict(usual)}
+        said = {"timestamp": time.strftime("%FT%T+00:00", time.gmtime(record.created)), **dict(usual)}
         if record.exc_info:
-            said["exception"] = self.formatException(record.exc_info)
+            said |= {"exception": super().formatException(record.exc_info)}
         return json.dumps(said | {k: v for k, v in vars(record).items() if k not in _OWN}, ensure_ascii=False, default=str)
 
 

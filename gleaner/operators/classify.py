@@ -7,10 +7,10 @@ built; the work per document is bounded by its own text. Fields are normalised o
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from dataclasses import dataclass, field
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +42,7 @@ class Taxonomy:
     @classmethod
     def of(cls, config: dict, fallback: tuple[str, str, str] | None = None) -> Taxonomy:
         cats = tuple(Category(c["primary_niche"], c["target_funnel"], c["recommended_affiliate"], tuple(c.get("keywords", ()))) for c in config["categories"])
-        weights = WEIGHTS | {k: int(v) for k, v in config.get("weights", {}).items()}
+        weights = WEIGHTS | {name: int(w) for name, w in (config.get("weights") or {}).items()}
         return cls(cats, weights, fallback or cls.fallback)
 
 
@@ -60,9 +60,10 @@ DEFAULT = Taxonomy.of(
 
 def load_taxonomy(path: str | None = None, fallback: tuple[str, str, str] | None = None) -> Taxonomy:
     """From a JSON file; without one (no path, or none there) the default. It is configuration, read by the driver."""
-    if path is None or not Path(path).exists():
+    if path is None or not os.path.exists(path):
         return DEFAULT
-    return Taxonomy.of(json.loads(Path(path).read_text(encoding="utf-8")), fallback)
+    with open(path, encoding="utf-8") as f:
+        return Taxonomy.of(json.load(f), fallback)
 
 
 def taxonomy_table(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DURATIONS = [0.5, 1, 2, 5, 10, 30, 60, 120, 300]
+DURATIONS = [x / 2 for x in (1, 2, 4, 10, 20, 60, 120, 240, 600)]
 CONFIDENCES = [x / 10 for x in range(11)]
 LOG_KEYS = "timestamp level logger message module function line".split()
 

@@ -95,7 +95,7 @@ def mark(queue: DataFrame, updates: DataFrame, as_of: Column, order: str | None
     )
 
 
-def pending(queue: DataFrame, site: str | None = None, limit: int | None = None, include_failed: bool = False, max_attempts: int = 3) -> DataFrame:
+def pending(queue: DataFrame, site: str | None = None, limit: int | None = None, max_attempts: int = 3, include_failed: bool = False) -> DataFrame:
     """Work to do, oldest first; no limit for None or 0. Ties go by key."""
     q = queue.where(F.col("state").isin(*(["pending", "failed"] if include_failed else ["pending"])) & (F.col("attempts") < max_attempts))
     q = q.where(F.col("source_site") == site) if site else q
@@ -103,7 +103,7 @@ def pending(queue: DataFrame, site: str | None = None, limit: int | None = None,
     return q.limit(limit) if limit else q
 
 
-def scan(stories: DataFrame, site: str | None = None, niche: str | None = None, limit: int | None = None) -> DataFrame:
+def scan(stories: DataFrame, niche: str | None = None, site: str | None = None, limit: int | None = None) -> DataFrame:
     """Stories by id, with lists decoded where they are JSON texts (broken ones are empty)."""
     s = stories.where(F.col("source_site") == site) if site else stories
     s = s.where(F.col("primary_niche") == niche) if niche else s

@@ -15,7 +15,7 @@ HASH = f"'sha256:' || sha256(lower(array_to_string({LINES}, chr(10))))"
 
 
 def iso(t: str) -> str:
-    return f"strftime({t}, '%Y-%m-%dT%H:%M:%S+00:00')"
+    return f"strftime({t}, '%Y-%m-%d') || strftime({t}, 'T%H:%M:%S+00:00')"
 
 
 TERMS = """list_sort(list_distinct(list_filter(list_transform({x}, lambda v: lower(trim(trim(v), ' ,;|/'))),
@@ -68,7 +68,7 @@ f AS (SELECT dedup_key, writes, id, old_hash, documents.source AS source_site, C
 
 QUEUE = """WITH q AS (SELECT 'e' || event_id AS dedup_key, 'site' || (user_id % 5) AS source_site, event_type, event_id,
     CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'done' ELSE 'pending' END AS state, (event_id % 4)::INT AS attempts,
-    CASE WHEN event_type = 'error' THEN 'timeout' END AS last_error, strftime(ts, '%Y-%m-%dT%H:%M:%S+00:00') AS discovered_at FROM events)
+    CASE WHEN event_type = 'error' THEN 'timeout' END AS last_error, strftime(ts, '%Y-%m-%d') || strftime(ts, 'T%H:%M:%S+00:00') AS discovered_at FROM events)
 """
 
 #: Parameters of the pages' URLs, without what tracks.
@@ -103,9 +103,9 @@ SQL = {
     + " ".join(f"WHEN {i} THEN strftime(o_orderdate, '{f}')" for i, f in enumerate(DATES))
     + " END AS raw FROM orders), p AS (SELECT o_orderkey, coalesce("
     + ", ".join(f"try_strptime(raw, '{f}')" for f in [DATES[6], *DATES[:6], DATES[7]])
-    + f") AS t, o_orderkey % 8 = 6 AS zoned FROM r), i AS (SELECT o_orderkey, CASE WHEN zoned THEN {iso('t')} ELSE strftime(t, '%Y-%m-%d') END AS iso FROM p) "
+    + f") AS t, o_orderkey % 8 = 6 AS zoned FROM r), i AS (SELECT o_orderkey, CASE WHEN zoned THEN ({iso('t')}) ELSE strftime(t, '%Y-%m-%d') END AS iso FROM p) "
     + "SELECT o_orderkey, iso, iso IS NOT NULL AS ok, substr(iso, 1, 4)::INT AS year FROM i",
-    "date_relative": f"SELECT event_id, strftime({NOW} - to_seconds((user_id % 50 + 1) * CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 WHEN 5 THEN 2592000 ELSE 31536000 END), '%Y-%m-%dT%H:%M:%S+00:00') AS iso FROM events",
+    "date_relative": f"SELECT event_id, {iso('t')} AS iso FROM (SELECT event_id, {NOW} - to_seconds((user_id % 50 + 1) * CASE event_id % 7 WHEN 0 THEN 1 WHEN 1 THEN 60 WHEN 2 THEN 3600 WHEN 3 THEN 86400 WHEN 4 THEN 604800 WHEN 5 THEN 2592000 ELSE 31536000 END) AS t FROM events)",
     "terms_normalize": f"WITH t AS (SELECT doc_id, {TERMS.format(x='string_split_regex(text, chr(91) || chr(32) || chr(10) || chr(93))')} AS t FROM documents) SELECT doc_id, len(t)::INT AS n_terms, array_to_string(t, '|') AS terms FROM t",
     "record_flags": RECORDS + "SELECT url AS dedup_key, array_to_string(flags, ',') AS flags, NOT list_has_any(flags, ['empty_body', 'missing_title', 'missing_canonical']) AS is_complete, CASE WHEN published IS NOT NULL THEN 2024 END::INT AS published_year FROM b",
     "record_measures": RECORDS + f"SELECT url AS dedup_key, len(p)::INT AS paragraph_count, words::INT AS word_count, length(body)::INT AS char_count, {HASH} AS content_hash, array_to_string(tags, ',') AS tags, {STAMP} AS fetched_at FROM b",
