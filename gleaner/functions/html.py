@@ -35,6 +35,7 @@ CLOSES |= {k: ({"td", "th"}, {"table", "tr"}) for k in ("td", "th")}
 CLOSES |= {"tr": ({"tr", "td", "th"}, {"table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = BLOCK | {"hr", "aside", "footer", "form", "nav"} - {"tr"}
 RUN = re.compile(f"[{''.join(map(chr, (9, 32, 160, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000)))}]+")
+MOST_BREAKS = 200
 HIDDEN = {"script", "style", "template"}
 
 SCHEMA = (
@@ -186,7 +187,7 @@ def best_container(nodes: list[tuple], min_chars: int) -> tuple | None:
         density = linked / chars if chars else 1.0
         if density > 0.25 or longest > 0.9 * length:
             continue
-        score = length * (1.0 + min(breaks, 200) / 200.0) * (1.0 - density)
+        score = length * (1 - density) * (1 + min(breaks, MOST_BREAKS) / MOST_BREAKS)
         if best is None or score > best[-1]:
             best = n, length, density, breaks, score
     return best

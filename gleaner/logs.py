@@ -32,9 +32,9 @@ def setup(level: str = "INFO", path: str | None = None, as_json: bool | None = N
     as_json = os.environ.get(JSON_SWITCH) == "1" if as_json is None else as_json
     shape = JsonLines() if as_json else logging.Formatter("%(asctime)s %(levelname)s %(name)s: %(message)s")
     root = logging.getLogger("gleaner")
-    for h in list(root.handlers):
-        root.removeHandler(h)
-        h.close()
+    for old in root.handlers[:]:
+        old.close()
+        root.removeHandler(old)
     sinks: list[logging.Handler] = [logging.StreamHandler()]
     if path:
         Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -68,7 +68,7 @@ class Bound:
             self.say("INFO", what, duration=round(time.monotonic() - start, 3), **fields)
 
 
-def start_metrics_server(port: int = 9090) -> bool:
+def start_metrics_server(port=9090):
     """Whether a server could be started: False without the client library or with the port taken."""
     try:
         from prometheus_client import start_http_server

@@ -78,7 +78,7 @@ n AS (SELECT *, scheme || '://' || host || CASE WHEN path = '' THEN '/' ELSE pat
     list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(lower(x), '^(utm_|fbclid|gclid|mc_|ref_|_ga|(ref|referrer|source|share|from)(=|$))'))) AS kept FROM u)
 """
 
-DATES = ["%Y-%m-%d", "%Y/%m/%d", "%-d %B %Y", "Posted on %b %-d, %Y", "%d-%m-%Y", "%d/%m/%Y", "%Y-%m-%dT%H:%M:%SZ", "%A %-d %B %Y"]
+DATES = "%Y-%m-%d|%Y/%m/%d|%-d %B %Y|Posted on %b %-d, %Y|%d-%m-%Y|%d/%m/%Y|%Y-%m-%dT%H:%M:%SZ|%A %-d %B %Y".split("|")
 
 PENALTY = """WITH RECURSIVE e AS (SELECT user_id AS host, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
 f AS (SELECT DISTINCT host, 0::BIGINT AS n, 0::DOUBLE AS p FROM e UNION ALL SELECT e.host, e.n,
@@ -153,7 +153,7 @@ SELECT event_id, round(sent, 6) AS sent, round(sent - a, 6) AS delay FROM s""",
     "stream_penalty": PENALTY,
     "metric_counter": "SELECT event_type, user_id, count(*) AS value FROM events GROUP BY ALL",
     "metric_gauge": "SELECT event_type, arg_max(value, ts) AS value FROM events GROUP BY 1",
-    "metric_histogram": """WITH b AS (SELECT unnest([0.5, 1, 2, 5, 10, 30, 60, 120, 300])::DOUBLE AS b, unnest(['0.5', '1', '2', '5', '10', '30', '60', '120', '300']) AS le UNION ALL SELECT 1e300, '+Inf')
+    "metric_histogram": """WITH b AS (SELECT le::DOUBLE AS b, le FROM (SELECT unnest(string_split('0.5 1 2 5 10 30 60 120 300', ' ')) AS le) UNION ALL SELECT 1e300, '+Inf')
 SELECT event_type, le, count(*) FILTER (value <= b) AS count, count(*) AS total_count, sum(round(value * 100)::BIGINT)::BIGINT AS total_cents FROM events, b GROUP BY event_type, le""",
     "fetch_outcomes": "WITH e AS (SELECT event_id, event_id % 300 + 250 AS s FROM events) SELECT event_id, s >= 400 AS failed, s IN (408, 425, 429) OR s >= 500 AS retryable, s = 429 OR s >= 500 AS penalized FROM e",
     "log_lines": """SELECT event_id, '{"level":"INFO","message":"' || event_type || '","user":' || user_id || '}' AS line FROM events""",
