@@ -248,7 +248,8 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = T
     """The candidates whose sets' exact Jaccard is at or over the threshold."""
     home = materialize(components(pairs, "component"), "home")
     clean = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null and text <> ''")
-    wanted = clean.join(home.select(F.col("v").alias("doc_id"), "root"), "doc_id").select("root", "doc_id", "text")
+    # one plan at every size: where `home` grows with the data, a broadcast of it while it is small would only hide the shuffle of texts
+    wanted = clean.join(home.select(F.col("v").alias("doc_id"), "root").hint("merge"), "doc_id").select("root", "doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -319,7 +320,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     gone = materialize(roots.where("v <> root").select(F.col("v").alias("_gl_id")).distinct(), "gone")
     again = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_gl_id")).agg(F.count(F.lit(1)).alias("_gl_n")).where("_gl_n > 1").select("_gl_id"), "repeated")
     same = docs["doc_id"].cast("bigint") == F.col("_gl_id")
-    once = docs.join(gone.union(again), same, "left_anti")
+    once = docs.join(gone.union(again).hint("merge"), same, "left_anti")  # as in `verified`
     first = docs.join(again, same, "left_semi").join(gone, same, "left_anti")
     # one row of each doc_id; row_number, as columns of any type (maps too) may be there
     w = Window.partitionBy(F.col("doc_id").cast("bigint")).orderBy(F.col("text"))
