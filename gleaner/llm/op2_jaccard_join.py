@@ -14,11 +14,12 @@ Surviving candidates are verified on whole texts: documents of one connected com
 task, each with its set once, and the exact Jaccard of every candidate pair decides. No cap is set on partners or
 candidates.
 
-Result: doc_a < doc_b and jaccard. Pairs at or over THRESHOLD between representatives, and each other member of a
-class with its representative, at 1.0. All pairs follow: (x, y) is one if their representatives are equal or paired.
+Result: doc_a < doc_b and jaccard, a row for every pair of documents at or over THRESHOLD: pairs between representatives
+are joined back to the members of both classes, and members of one class pair at 1.0. The rows grow with the square of a
+class. The pipeline's stage, which wants only the groups, keeps the compact form (`near_pairs`).
 
 Defined results: NULL and empty texts, and NULL doc_ids, pair with nothing. A text of fewer than N words has one
-n-gram, all its words. Rows of one doc_id are one document; if their texts differ, the best pair counts. An empty table
+n-gram, all its words. Rows of one doc_id are one document; if their texts differ, the best pair counts, and the document is compared as itself, in no class. An empty table
 has no pairs.
 """
 
@@ -48,6 +49,8 @@ RECALL = 0.97
 #: Standard errors of the sketch's estimate that a candidate may lie under the threshold.
 SLACK = 3.0
 PART = 1000
+#: Members of a class that are joined as one row.
+BLOCK = 256
 
 
 def survival(levels: int) -> float:
@@ -295,19 +298,63 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = T
     return rows.repartition("root").sortWithinPartitions("root", "kind").mapInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
 
 
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL) -> DataFrame:
+def classes_of(drawn: DataFrame) -> DataFrame:
+    """doc_id, rep, many, key: the least document of equal sets for each document; one of several sets (many) is its own.
+
+    key is the set's where a document of several sets has it too, else NULL.
+    """
+    once = drawn.select("set_key", "doc_id").repartition("doc_id").distinct()
+    marked = once.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > 1)
+    same = Window.partitionBy("set_key")
+    least = F.min(F.when(~F.col("many"), F.col("doc_id"))).over(same)
+    rep = F.when(F.col("many"), F.col("doc_id")).otherwise(least)
+    return marked.select("doc_id", rep.alias("rep"), "many", F.when(F.max("many").over(same), F.col("set_key")).alias("key"))
+
+
+def edges(docs: DataFrame, n: int, threshold: float, runs: int, small: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs between representatives, and the classes."""
     drawn = materialize(sketches(docs, n), "sketches")
-    least = Window.partitionBy("set_key").orderBy("doc_id")
-    classes = materialize(drawn.select("set_key", "doc_id").distinct().withColumn("rep", F.min("doc_id").over(least)).select("doc_id", "rep"), "classes")
+    classes = materialize(classes_of(drawn), "classes")
     reps = drawn.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch")
     reps = materialize(reps, "reps")
     pairs = materialize(candidates(reps, threshold, small=small, runs=runs).where("a < b"), "candidates")
-    copies = classes.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return verified(docs, pairs, n, threshold).union(copies).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    shared = classes.where("key is not null")
+    equal = shared.where("many").select("key", F.col("doc_id").alias("x")).join(shared.where("doc_id = rep").select("key", "rep"), "key").where("x <> rep")
+    equal = equal.select(F.least("x", "rep").alias("doc_a"), F.greatest("x", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    return verified(docs, pairs, n, threshold).union(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")), classes
+
+
+def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL) -> DataFrame:
+    """The compact form: pairs between representatives, and each other member of a class with its own."""
+    found, classes = edges(docs, n, threshold, runs, small)
+    return found.union(classes.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
+
+
+def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
+    """Every pair of documents: the compact form joined back to the members of both classes, and all pairs within a class.
+
+    Members are joined as blocks of ids and become rows after the last shuffle, so that it grows with the blocks, not with the pairs.
+    """
+    found, classes = edges(docs, n, threshold, runs, small)
+    own = Window.partitionBy("rep")
+    held = classes.where("not many").withColumn("m", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("doc_id"))).where("m > 1")
+    blocks = held.groupBy("rep", F.floor((F.col("nth") - 1) / block).alias("block")).agg(F.collect_list("doc_id").alias("ids"))
+    blocks = materialize(blocks, "blocks")
+
+    def side(k: str) -> DataFrame:
+        return blocks.select(F.col("rep").alias(f"doc_{k}"), F.col("block").alias(f"block_{k}"), F.col("ids").alias(f"ids_{k}")).hint("merge")
+
+    within = side("a").join(side("b").withColumnRenamed("doc_b", "doc_a"), "doc_a").where("block_a <= block_b").repartition("doc_a", "block_a", "block_b")
+    within = within.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
+    met = found.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left")
+    # a representative without copies has no block
+    met = met.select("jaccard", F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"))
+    across = met.select("jaccard", F.explode("ids_a").alias("x"), "ids_b").select("jaccard", "x", F.explode("ids_b").alias("y"))
+    return within.union(across.select("x", "y", "jaccard")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return all_pairs(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -73,6 +73,31 @@ def test_recall_and_values(docs, rows, small):
     assert len(stated) > 1000
 
 
+def test_query_gives_every_pair(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 6)))
+    base, other = [word() for _ in range(80)], [word() for _ in range(80)]
+    near = [" ".join(base[:k] + ["edit"] + base[k + 1 :]) for k in (20, 50)]
+    # classes of copies in interleaved ids, one of more than a block; 900 and 901 have several texts, 7 a row twice
+    texts = [(i, [" ".join(base), *near][max(0, i % 20 - 17)]) for i in range(300)]
+    texts += [(300 + i, " ".join(other)) for i in range(5)] + [(305, " ".join(other[:-1] + ["edit"])), (306, " ".join(word() for _ in range(80)))]
+    texts += [(900, " ".join(base)), (900, " ".join(other)), (901, " ".join(other)), (901, " ".join(word() for _ in range(80))), texts[7]]
+    r.shuffle(texts)
+    spark.createDataFrame([(i, x, "en", "h", None) for i, x in texts], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    one = {x: next(iter(brute([(0, x)])[0].values())) for _, x in texts}
+    sets = {}
+    for i, x in texts:
+        sets.setdefault(i, set()).add(one[x])
+    want, known = {}, {(x, y): len(x & y) / len(x | y) for x in one.values() for y in one.values()}
+    for a in sets:
+        for b in sets:
+            if a < b and (j := max(known[x, y] for x in sets[a] for y in sets[b])) >= op2.THRESHOLD:
+                want[a, b] = j
+    got = [((x.doc_a, x.doc_b), x.jaccard) for x in op2.op2_jaccard_join(spark, str(tmp_path)).collect()]
+    assert len(got) == len(dict(got)) and dict(got) == pytest.approx(want) and len(want) > 45000
+    assert op2.all_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
 def test_splitting_finds_pairs_in_large_buckets():
     r = np.random.default_rng(2)
     base = r.integers(0, 256, (40, op2.WIDTH))
