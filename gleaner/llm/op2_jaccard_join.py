@@ -8,7 +8,7 @@ in expectation at every level. Nodes of level START are found without a shuffle
 document) only. Nodes of one document end there; the others get their sketches and are split further in the
 task that holds them, until a bucket is small, LEVELS is reached or the bucket is dense (its mean similarity is
 over the threshold, so that splitting can't help); then all its pairs are compared by sketch, in tiles. RUNS follows from
-the survival probability of a pair at the threshold and the target recall.
+the survival probability of a pair at the threshold down to LEVELS and the target recall.
 
 Surviving candidates are verified on whole texts: documents of one connected component of candidates meet in one
 task, each with its set once, and the exact Jaccard of every candidate pair decides. No cap is set on partners or
@@ -53,25 +53,32 @@ PART = 1000
 BLOCK = 256
 
 
-def survival(levels: int) -> float:
-    """Probability that a pair at the threshold still shares a node, one child expected a level."""
+def least_matches(threshold: float) -> int:
+    """Equal coordinates that a candidate needs."""
+    j = threshold + (1 - threshold) / 256
+    return math.floor(WIDTH * j - SLACK * math.sqrt(WIDTH * j * (1 - j)))
+
+
+def survival(matches: int, levels: int) -> float:
+    """Probability that a pair at the threshold with so many equal coordinates still shares a node."""
     p = 1.0
     for _ in range(levels):
-        p = 1 - math.exp(-p)
+        p = 1 - (1 - p / (THRESHOLD * WIDTH)) ** matches
     return p
 
 
-def runs_for(recall: float, levels: int) -> int:
-    return math.ceil(math.log(1 - recall) / math.log(1 - survival(levels)))
+def recall_of(runs: int, levels: int) -> float:
+    """Expected recall of pairs at the threshold that must survive so many levels, over the spread of their equal coordinates."""
+    j = THRESHOLD + (1 - THRESHOLD) / 256
+    return sum(math.comb(WIDTH, m) * j**m * (1 - j) ** (WIDTH - m) * (1 - (1 - survival(m, levels)) ** runs) for m in range(least_matches(THRESHOLD), WIDTH + 1))
 
 
-RUNS = runs_for(RECALL, START + 1)
+def runs_for(recall: float, levels: int) -> int:
+    return next(r for r in range(1, 1000) if recall_of(r, levels) >= recall)
 
 
-def least_matches(threshold: float) -> int:
-    """Equal coordinates that a candidate needs."""
-    j = threshold + (1 - threshold) / 256
-    return math.floor(WIDTH * j - SLACK * math.sqrt(WIDTH * j * (1 - j)))
+#: For the deepest level: a pair whose common tokens are those of a large bucket is compared there and no sooner.
+RUNS = runs_for(RECALL, LEVELS)
 
 
 def sketches(docs: DataFrame, n: int = N) -> DataFrame:

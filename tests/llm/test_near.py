@@ -113,6 +113,20 @@ def test_splitting_finds_pairs_in_large_buckets():
     assert len(got & want) >= 0.9 * len(want) and got <= want
 
 
+def test_recall_at_the_deepest_level():
+    # pairs at the threshold whose common tokens are all shared with about half of a large, sparse bucket
+    r = np.random.default_rng(3)
+    first = (r.random((1800, op2.WIDTH)) < 0.6).astype(np.uint8)
+    other = r.random(first.shape) >= op2.THRESHOLD + (1 - op2.THRESHOLD) / 256
+    sketch = np.stack([first, first ^ other], 1).reshape(-1, op2.WIDTH)
+    least = op2.least_matches(op2.THRESHOLD)
+    got = set()
+    for run in range(op2.RUNS):
+        for i, j in op2.split(op2.mix(np.array([run + 1], np.uint64))[0], sketch, 0, op2.THRESHOLD, op2.SMALL, op2.LEVELS, least):
+            got |= set(i[(i ^ 1) == j].tolist())
+    assert len(got) >= 0.95 * len(first)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)]
