@@ -125,7 +125,7 @@ def header() -> F.Column:
 def write_archives(resolved: DataFrame, folder: str, buckets: int | None = None, roll: int = ROLL) -> DataFrame:
     """Writes the archives and returns their list: path, records, bytes. Run by an action on the list, once.
 
-    A repeated row stays the original only once: of equal rows next to each other all but the first are written as revisits.
+    A repeated row stays the original only once: of responses with one digest and record_id, next to each other, all but the first are written as revisits.
     A task writes under a name of its own and renames when done, so that a lost or repeated task leaves no partial file.
     """
 
@@ -136,7 +136,7 @@ def write_archives(resolved: DataFrame, folder: str, buckets: int | None = None,
         fs, base = pafs.FileSystem.from_uri(folder)
         fs.create_dir(base, recursive=True)
         out: list[tuple[str, int, int]] = []
-        raw, n, bucket, nth, last = io.BytesIO(), 0, None, 0, None
+        raw, n, bucket, nth, last = io.BytesIO(), 0, None, 0, None  # last: digest and id of the latest response
 
         def flush() -> None:
             nonlocal raw, n, nth
@@ -151,13 +151,13 @@ def write_archives(resolved: DataFrame, folder: str, buckets: int | None = None,
             raw, n, nth = io.BytesIO(), 0, nth + 1
 
         for b in batches:
-            for g, rid, kind, head, payload in zip(*(b.column(i).to_pylist() for i in range(5))):
+            for g, rid, kind, head, payload, digest in zip(*(b.column(i).to_pylist() for i in range(6))):
                 if g != bucket:
                     flush()
                     bucket, nth = g, 0
-                if kind == "response" and rid == last:
+                if kind == "response" and (digest, rid) == last:
                     head, payload = repeated(head), ""
-                last = rid if kind == "response" else last
+                last = (digest, rid) if kind == "response" else last
                 raw.write(gzip.compress(f"{head}\r\n{payload}\r\n\r\n".encode(), 1, mtime=0))
                 n += 1
                 if raw.tell() >= roll:
@@ -167,7 +167,7 @@ def write_archives(resolved: DataFrame, folder: str, buckets: int | None = None,
 
     bucket = F.pmod(F.xxhash64("payload_digest"), F.lit(buckets)).cast("int").alias("bucket")
     rows = resolved.select(bucket, "record_id", "warc_type", "header", "payload", "payload_digest")
-    placed = rows.repartition("bucket").sortWithinPartitions("bucket", "payload_digest", "warc_type", "record_id").drop("payload_digest")
+    placed = rows.repartition("bucket").sortWithinPartitions("bucket", "payload_digest", "warc_type", "record_id")
     return placed.mapInArrow(run, "archive string, n_records bigint, n_bytes bigint")
 
 

@@ -65,3 +65,14 @@ def test_empty_and_null_pages(spark, tmp_path):
     assert op6.op6_warc_revisits(spark, str(tmp_path)).count() == 6
     pages.limit(0).write.parquet(f"{tmp_path}/e/pages.parquet")
     assert op6.op6_warc_revisits(spark, f"{tmp_path}/e").count() == 0
+
+
+def test_one_id_with_two_payloads(spark, tmp_path):
+    pages = spark.createDataFrame([(1, "u", "x"), (1, "u", "y"), (1, "u", "y"), (2, "v", "z")], "page_id bigint, url string, html string")
+    pages.coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    got = op6.op6_warc_revisits(spark, str(tmp_path)).collect()
+    assert sorted(r.payload for r in got if r.warc_type == "response") == ["x", "y", "z"] and len(got) == 8
+    resolved = op6.resolve(spark.createDataFrame([(None, "response", "u", "2024-01-01", None, x) for x in "abcdefgh"], SCHEMA))
+    # one bucket, so that they lie next to each other
+    op6.write_archives(resolved, f"file://{tmp_path}/w", buckets=1).collect()
+    assert sorted(r.payload for r in op6.read_archives(spark, f"file://{tmp_path}/w").collect() if r.warc_type == "response") == list("abcdefgh")
