@@ -1,10 +1,10 @@
 """WARC revisit resolution.
 
-Headers alone are shuffled by payload digest; the earliest response of a digest is its original. Later responses of
+Records are shuffled by payload digest; the earliest response of a digest is its original. Later responses of
 the digest become revisits, and revisit records are joined to the original they repeat. Each record is then written with
 fresh headers into deduplicated archives: one gzip member a record, files of about ROLL bytes, named by the bucket
-of the digest, so that a payload and its revisits lie together. Payloads are never part of the headers' shuffle; the one
-shuffle that they take part in is that into archives.
+of the digest, so that a payload and its revisits lie together. Where the originals are too many to broadcast, payloads are
+shuffled twice: along with their headers by digest, and into archives.
 
 Records: record_id, warc_type (response or revisit), target_uri, warc_date, payload_digest, payload (NULL in revisits).
 
