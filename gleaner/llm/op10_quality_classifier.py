@@ -1,10 +1,13 @@
 """Quality classifier: hierarchical empirical Bayes.
 
 A naive Bayes model over binned text statistics, fitted on all labelled documents by grouped counts, gives each
-document's evidence. Summed per host and per path (host and first path segment) it gives their posteriors: a host's
+document's evidence. Summed per host and per path it gives their posteriors: a host's
 rate is shrunk toward the global rate, a path's toward its host's, each by a strength estimated from the spread
 between groups (method of moments). A document's final log odds are its evidence plus those of its path.
 
+Documents have no URL: source stands in for the host, and source with language for the path, so that the path
+posterior is one of a source by language.
+
 Defined results: texts that are NULL or have no words are rejected. NULL hosts or languages count as ''. Without
 labels the evidence is 0 and every other document is kept. Repeated rows count, and are judged, each for itself;
 several labels of a document are averaged. An empty table gives an empty result.
