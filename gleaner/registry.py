@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -16,7 +14,7 @@ from gleaner.operators import classify, discover, metrics, pacing, records, robo
 from gleaner.oracles import SQL as SQL  # noqa: PLC0414
 from gleaner.plans.pages import Site, page_records
 from gleaner.sources.io import read_pages, table, write_jsonl
-from gleaner.sources.shared import materialize, shared_dir
+from gleaner.sources.shared import fresh_path, materialize
 from gleaner.streaming import streams
 
 C = F.col
@@ -265,7 +263,7 @@ def log_lines(spark: SparkSession, d: str) -> DataFrame:
 def export_jsonl(spark: SparkSession, d: str) -> DataFrame:
     """Records written as JSON lines and read again."""
     r = records.to_dict(built(spark, d)).select("dedup_key", "title", "tags", "flags", "word_count")
-    path = _folder(spark, "jsonl")
+    path = fresh_path(spark, "jsonl")
     write_jsonl(r, path)
     back = spark.read.schema(r.schema).json(path)
     return back.select("dedup_key", "title", F.array_join("tags", ",").alias("tags"), F.array_join("flags", ",").alias("flags"), "word_count")
@@ -277,13 +275,9 @@ def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
 
 
-def _folder(spark: SparkSession, tag: str) -> str:
-    return f"{shared_dir(spark)}/gleaner-{tag}-{uuid.uuid4().hex}"
-
-
 def _drained(spark: SparkSession, df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
     """A stream run until its input ends, its rows written to the shared folder."""
-    out, check = _folder(spark, tag), _folder(spark, f"{tag}-state")
+    out, check = fresh_path(spark, tag), fresh_path(spark, f"{tag}-state")
 
     def keep(batch: DataFrame, i: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={i}")
@@ -315,9 +309,9 @@ def stream_penalty(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     empty = store.empty(spark, "dedup_key string, source_site string, title string, content_hash string, id bigint, first_seen_at string, updated_at string, revision int")
-    st = streams.Store(spark, _folder(spark, "store"), empty, "arrival", lambda _: X.now())
+    st = streams.Store(spark, fresh_path(spark, "store"), empty, "arrival", lambda _: X.now())
     docs = _stream(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("dedup_key"), C("source").alias("source_site"), C("lang").alias("title"), F.md5("text").alias("content_hash"), C("doc_id").alias("arrival"))
-    st.start(docs, _folder(spark, "store-state")).awaitTermination()
+    st.start(docs, fresh_path(spark, "store-state")).awaitTermination()
     return st.current().select("dedup_key", "source_site", "title", "content_hash", "revision", "first_seen_at")
 
 

@@ -11,19 +11,42 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of its own where it is unset (tests)."""
+    """spark.checkpoint.dir. A local session without one (tests) has a folder of its own; a cluster without one is an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + os.path.join(tempfile.gettempdir(), "gleaner-shared")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    if found:
+        return found.rstrip("/")
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "gleaner-shared")
+
+
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A path of its own in the shared folder, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/gleaner-{tag}-{uuid.uuid4().hex}"
+    fs, p = _on(spark, path)
+    fs.deleteOnExit(p)
+    return path
+
+
+def _on(spark: SparkSession, path: str):
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Written and read again: cuts lineage, survives the loss of executors, is computed once for several readers."""
-    path = f"{shared_dir(df.sparkSession)}/gleaner-{tag}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def release(df: DataFrame) -> None:
+    """Deletes what `materialize` wrote, once nothing reads it any more."""
+    fs, p = _on(df.sparkSession, df._written)
+    fs.delete(p, True)
 
 
 def numbered(df: DataFrame, name: str, order: list[Column], start: Column | None = None) -> DataFrame:
