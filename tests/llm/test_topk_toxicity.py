@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 from gleaner.llm import op5_topk as op5
 from gleaner.llm import op7_toxicity as op7
@@ -16,28 +17,54 @@ def test_top_k_against_brute_force(spark):
     x[50] = x[51]
     rows = [(i, v.tolist()) for i, v in enumerate(x)]
     odd = [(900, None), (901, [0.0] * 12), (902, [float("nan")] * 12), (903, [1.0] * 11 + [None]), (None, [1.0] * 12), (904, [1.0, 2.0]), (905, [2.0, 1.0]), (5, x[5].tolist()), (906, [])]
-    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as e", "2 as unit", "3 as dims")
+    df = spark.createDataFrame(rows + odd, "vec_id bigint, embedding array<double>").selectExpr("*", "1 as e", "2 as unit", "3 as dims", "4 as norm")
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(u @ u.T, op5.DIGITS) + 0.0
-    got = {}
-    for row in op5.top_k(df, k=5, block=64, asked=40).collect():
-        got.setdefault(row.vec_id, {})[row.rank] = (row.neighbour, row.score)
-    for i in range(300):
-        best = sorted((-s[i, j], j) for j in range(300) if j != i)[:5]
-        assert [got[i][k + 1] for k in range(5)] == [(j, -z) for z, j in best]
-    assert got[904] == {1: (905, 0.8)} and not {900, 901, 902, 903, 906, None} & set(got)
-    assert op5.top_k(df.limit(0)).count() == 0
+    for asks, asked in ((None, 1 << 20), (None, 40), (F.col("vec_id") % 7 == 0, 1 << 20)):
+        got = {}
+        for row in op5.top_k(df, asks, k=5, block=64, asked=asked).collect():
+            got.setdefault(row.vec_id, {})[row.rank] = (row.neighbour, row.score)
+        for i in range(300):
+            best = sorted((-s[i, j], j) for j in range(300) if j != i)[:5]
+            if asks is None or i % 7 == 0:
+                assert [got[i][k + 1] for k in range(5)] == [(j, -z) for z, j in best]
+            else:
+                assert i not in got
+        if asks is None:
+            assert got[904] == {1: (905, 0.8)} and not {900, 901, 902, 903, 906, None} & set(got)
+    assert op5.top_k(df.limit(0)).count() == 0 and op5.top_k(df, F.lit(False)).count() == 0
+
+
+def test_bound_is_one():
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        x = r.normal(size=(50, 6)) * r.uniform(0.1, 2, 6)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        q = r.normal(size=(5, 6))
+        assert (op5.bound(q, x.min(0), x.max(0)) >= (q @ x.T).max(1) - 1e-12).all()
 
 
 def test_bound_stops_early():
     r = np.random.default_rng(0)
-    x = r.normal(size=(4000, 3))
+    x = r.normal(size=(4000, 64)) * 0.9 ** np.arange(64)
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    lists = op5.Lists(np.arange(4000), x)
-    ids, scores, depth = lists.top(0, x[0], 5)
-    s = np.round(x @ x[0], op5.DIGITS)
-    assert ids.tolist() == sorted((j for j in range(1, 4000)), key=lambda j: (-s[j], j))[:5]
-    assert depth < 2000
+    lists, best = op5.Lists(np.arange(4000), x), op5.Best(50, 5)
+    depths = lists.search(np.arange(50), x[:50], best)
+    s = np.round(x @ x[:50].T, op5.DIGITS) + 0.0
+    for i in range(50):
+        assert best.ids[i].tolist() == sorted((j for j in range(4000) if j != i), key=lambda j: (-s[j, i], j))[:5]
+    # groups far apart: once a query has its own group, the other groups' blocks are done unread
+    centres = np.linalg.qr(r.normal(size=(64, 8)))[0].T
+    best = op5.Best(20, 5)
+    found = []
+    for g in range(8):
+        y = centres[g] + r.normal(size=(2000, 64)) * 0.05
+        y /= np.linalg.norm(y, axis=1, keepdims=True)
+        if g == 0:
+            me, q = np.arange(20), y[:20]
+        found.append(op5.Lists(np.arange(2000) + g * 2000, y).search(me, q, best))
+    assert not np.array(found[1:]).any() and (best.ids < 2000).all()
+    assert depths.max() < 1000
 
 
 def toxic_docs(n, seed):
