@@ -7,26 +7,32 @@ hash samples with probability 1 / (THRESHOLD * WIDTH): a pair of similarity at o
 in expectation at every level. Nodes of level START are found without a shuffle and shuffled by node, as (node,
 document) only. Nodes of one document end there; the others get their sketches and are split further in the
 task that holds them, until a bucket is small, LEVELS is reached or the bucket is dense (its mean similarity is
-over the threshold, so that splitting can't help); then all its pairs are compared by sketch, in tiles. RUNS follows from
+over the threshold, so that splitting can't help); then all its pairs are compared by sketch, in tiles. A bucket of
+more than LOCAL documents is never brought together: its documents find their children row by row and are shuffled by
+these, level by level; if one is still so large at the deepest level, pairs of its blocks are the tasks. RUNS follows from
 the survival probability of a pair at the threshold down to LEVELS and the target recall.
 
-Surviving candidates are verified on whole texts: documents of one connected component of candidates meet in one
-task, each with its set once, and the exact Jaccard of every candidate pair decides. No cap is set on partners or
-candidates.
+Surviving candidates are verified on whole texts: a filter of their ids keeps other texts from being shuffled;
+documents of one connected component of candidates meet in one task, each with its set once (a component of more than
+TOGETHER documents as pairs of blocks), and the exact Jaccard of every candidate pair decides. No cap is set on
+partners or candidates.
 
-Result: doc_a < doc_b and jaccard, a row for every pair of documents at or over THRESHOLD: pairs between representatives
-are joined back to the members of both classes, and members of one class pair at 1.0. The rows grow with the square of a
-class. The pipeline's stage, which wants only the groups, keeps the compact form (`near_pairs`).
+Result (`near_pairs`): doc_a < doc_b and jaccard, in the compact form: all pairs between representatives at or over THRESHOLD, and each
+other member of a class with its representative at 1.0. Every pair of documents follows: both ends' representatives
+are one, or paired. The rows grow with the documents and the pairs of different texts, not with the square of a class.
 
 Defined results: NULL and empty texts, and NULL doc_ids, pair with nothing. A text of fewer than N words has one
-n-gram, all its words. Rows of one doc_id are one document; if their texts differ, the best pair counts, and the document is compared as itself, in no class. An empty table
-has no pairs.
+n-gram, all its words. Very long texts count whole. A pair of exactly THRESHOLD is one. Of equal sets the least doc_id
+represents. Rows of one doc_id are one document; if their texts differ, the best pair counts, and the document is compared
+as itself, in no class; its equals are paired with it once. An empty table has no pairs. Columns but doc_id and text,
+of whatever names, aren't read by the join; the stage keeps them.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +41,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gleaner.llm.common import materialize, table
+from gleaner.llm.common import id_filter, id_hash, looked_up, materialize, release, sliced, table, without
 from gleaner.llm.ngrams import minhash, mix, shingles
-from gleaner.llm.op9_best_fit_packing import _runs
 
 N = 3
 THRESHOLD = 0.6
@@ -49,8 +54,10 @@ RECALL = 0.97
 #: Standard errors of the sketch's estimate that a candidate may lie under the threshold.
 SLACK = 3.0
 PART = 1000
-#: Members of a class that are joined as one row.
-BLOCK = 256
+#: Rows of a bucket that one task splits or compares; larger ones are split, and at last compared in blocks, by many tasks.
+LOCAL = 16_384
+#: Documents of a component of candidates that are verified together; larger components are verified by pairs of blocks.
+TOGETHER = 1024
 
 
 def least_matches(threshold: float) -> int:
@@ -179,17 +186,34 @@ def split(node: np.uint64, sketch: np.ndarray, level: int, threshold: float, sma
         todo += [(below[a], rows[took[a:z]], depth + 1) for a, z in zip(cuts, cuts[1:]) if z - a > 1]
 
 
-def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START, levels: int = LEVELS, small: int = SMALL, runs: int = RUNS) -> DataFrame:
+def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START, levels: int = LEVELS, small: int = SMALL, runs: int = RUNS, local: int = LOCAL) -> DataFrame:
     """Pairs a < b of representatives that share a bucket and whose sketches agree enough."""
     least = least_matches(threshold)
-    found = nodes(reps, threshold, start, runs)
-    shared = found.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("m > 1").drop("m")
-    met = shared.join(reps.select("doc_id", "sketch"), "doc_id").select("node", "doc_id", "sketch")
+    sketch = reps.select("doc_id", "sketch")
+    found, level, ready = materialize(nodes(reps, threshold, start, runs), "nodes"), start, []
+    while True:
+        large = materialize(found.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > local), "large")
+        none = large.isEmpty()
+        here = found if none else looked_up(found, large.select("node"), ["node"], "doc_id", "left_anti")
+        shared = here.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("m > 1")
+        ready.append(shared.select("node", "doc_id", F.lit(level).alias("level")))
+        if none:
+            break
+        held = looked_up(found, large, ["node"], "doc_id")
+        if level >= levels:
+            # pairs of blocks; a document goes to each that its block is in
+            blocks = held.withColumn("n", F.ceil(F.col("m") / local)).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
+            each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+            ready.append(each.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", F.lit(levels).alias("level")))
+            break
+        found, level = materialize(_below(held.join(sketch, "doc_id").select("node", "doc_id", "sketch"), threshold), "nodes"), level + 1
+    met = reduce(DataFrame.union, ready).join(sketch, "doc_id").select("node", "doc_id", "sketch", "level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in _groups(batches):
             node = t.column("node").to_numpy().view(np.uint64)
             docs = t.column("doc_id").to_numpy()
+            depth = t.column("level").to_numpy()
             sketch = _matrix(t.column("sketch").combine_chunks())
             cut = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
             size = np.diff(cut)
@@ -204,7 +228,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
                     pairs.append(np.stack([docs[x[good]], docs[y[good]]], 1))
             for k in np.flatnonzero(size > small):
                 a, z = cut[k], cut[k + 1]
-                for i, j in split(node[a], sketch[a:z], start, threshold, small, levels, least):
+                for i, j in split(node[a], sketch[a:z], int(depth[a]), threshold, small, levels, least):
                     pairs.append(np.stack([docs[a:z][i], docs[a:z][j]], 1))
             if pairs:
                 p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
@@ -213,6 +237,17 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
     return met.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _below(held: DataFrame, threshold: float) -> DataFrame:
+    """The children of (node, doc_id, sketch), row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, 1 << 14):
+            took, below = children(b.column(0).to_numpy().view(np.uint64), _matrix(b.column(2)), threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), b.column(1).take(pa.array(took))], ["node", "doc_id"])
+
+    return held.mapInArrow(run, "node bigint, doc_id bigint")
+
+
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     """Tables of whole nodes: what a batch cuts off goes with the next."""
     held: list[pa.RecordBatch] = []
@@ -235,55 +270,72 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
     """(v, root) for every vertex of edges (a, b): the least vertex of its component.
 
     Alternating large and small stars: each round halves the depth of the trees, so the rounds grow with the logarithm of the
-    largest component. Each round is written to the shared folder.
+    largest component. Least neighbours are found by partial aggregation and written, so that a vertex of many edges is
+    split where they are joined. Each round is written to the shared folder, the one before is deleted.
     """
-    now = materialize(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).where("u <> v").distinct(), tag)
+
+    def digest(df: DataFrame):
+        return df.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
+
+    now = materialize(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
+    before = digest(now)
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-        large = both.withColumn("m", least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        least = F.min("v").over(Window.partitionBy("u"))
-        small = down.withColumn("m", least)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        then = materialize(small, tag)
-        same = then.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        before = now.select(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        now = then
+        least = materialize(both.groupBy("u").agg(F.min(F.least("u", "v")).alias("m")), tag)
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        large = materialize(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+        low = materialize(large.groupBy("u").agg(F.min("v").alias("m")), tag)
+        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v")))
+        then = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), tag)
+        for done in (now, least, large, low):
+            release(done)
+        now, same = then, digest(then)
         if same == before:
             return now.select("u", F.col("v").alias("root")).union(now.select(F.col("v").alias("u"), F.col("v").alias("root")).distinct()).withColumnRenamed("u", "v")
+        before = same
+
 
+def placed(home: DataFrame, pairs: DataFrame, together: int) -> DataFrame:
+    """(unit, a, b): each pair with the task that verifies it."""
+    large = home.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > together)
+    at = looked_up(home, materialize(large, "large"), ["root"], "v", "left")
+    at = at.select("v", "root", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / together))).otherwise(0).alias("block"))
+    at = materialize(at, "homes")
+    x = pairs.join(at.select(F.col("v").alias("a"), "root", F.col("block").alias("x")), "a").join(at.select(F.col("v").alias("b"), F.col("block").alias("y")), "b")
+    return x.select(F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "a", "b")
 
-def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
-    """The candidates whose sets' exact Jaccard is at or over the threshold."""
+
+def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
+    """The candidates (a written table) whose sets' exact Jaccard is at or over the threshold."""
     home = materialize(components(pairs, "component"), "home")
+    units = materialize(placed(home, pairs, together), "units")
+    needs = units.select("unit", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(home.select("v")))
     clean = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null and text <> ''")
-    # one plan at every size: where `home` grows with the data, a broadcast of it while it is small would only hide the shuffle of texts
-    wanted = clean.join(home.select(F.col("v").alias("doc_id"), "root").hint("merge"), "doc_id").select("root", "doc_id", "text")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, PART):
-                p = b.slice(at, PART)
+            b = b.filter(pa.array(held.value.maybe(b.column(0).to_numpy())))
+            for p in sliced([b], PART):
                 found, sizes = shingles(p.column(2), n)
                 ends = np.cumsum(sizes)
                 rows = pa.array([found[z - s : z].tobytes() for s, z in zip(sizes, ends)], pa.binary())
-                yield pa.RecordBatch.from_arrays([p.column(0), pa.array(np.zeros(p.num_rows, np.int32)), p.column(1), pa.nulls(p.num_rows, pa.int64()), rows], ["root", "kind", "a", "b", "grams"])
+                yield pa.RecordBatch.from_arrays([p.column(1), rows], ["doc_id", "grams"])
 
-    schema = "root bigint, kind int, a bigint, b bigint, grams binary"
-    placed = pairs.join(home.select(F.col("v").alias("a"), "root"), "a").select("root", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams"))
-    rows = wanted.mapInArrow(sets, schema).union(placed)
+    drawn = clean.select(id_hash(F.col("doc_id")).alias("h"), "doc_id", "text").mapInArrow(sets, "doc_id bigint, grams binary")
+    own = drawn.join(needs, "doc_id").select("unit", F.lit(0).alias("kind"), F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "grams")
+    rows = own.union(units.select("unit", F.lit(1).alias("kind"), "a", "b", F.lit(None).cast("binary").alias("grams")))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
-        root = None
+        unit = None
         for b in batches:
-            roots, kinds, left, right = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
+            units, kinds, left, right = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
             grams = b.column(4)
             out_a, out_b, out_j = [], [], []
             for i in range(b.num_rows):
-                if roots[i] != root:
-                    held, root = {}, roots[i]
+                if units[i] != unit:
+                    held, unit = {}, units[i]
                 if kinds[i] == 0:
                     held.setdefault(int(left[i]), []).append(np.frombuffer(grams[i].as_py(), np.uint32))
                     continue
@@ -302,81 +354,59 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = T
                     out_j.append(best)
             yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["doc_a", "doc_b", "jaccard"])
 
-    return rows.repartition("root").sortWithinPartitions("root", "kind").mapInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
+    return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
 
 
-def classes_of(drawn: DataFrame) -> DataFrame:
-    """doc_id, rep, many, key: the least document of equal sets for each document; one of several sets (many) is its own.
+def classes_of(drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, rep) twice: of the documents of one set, and of those of several.
 
-    key is the set's where a document of several sets has it too, else NULL.
+    rep is the least document of one set that has the set; where there is none, the least that has it.
     """
-    once = drawn.select("set_key", "doc_id").repartition("doc_id").distinct()
-    marked = once.withColumn("many", F.count(F.lit(1)).over(Window.partitionBy("doc_id")) > 1)
-    same = Window.partitionBy("set_key")
-    least = F.min(F.when(~F.col("many"), F.col("doc_id"))).over(same)
-    rep = F.when(F.col("many"), F.col("doc_id")).otherwise(least)
-    return marked.select("doc_id", rep.alias("rep"), "many", F.when(F.max("many").over(same), F.col("set_key")).alias("key"))
-
-
-def edges(docs: DataFrame, n: int, threshold: float, runs: int, small: int) -> tuple[DataFrame, DataFrame]:
-    """Pairs between representatives, and the classes."""
+    sets = materialize(drawn.select("doc_id", "set_key").distinct(), "sets")
+    several = materialize(sets.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id"), "several")
+    many = looked_up(sets, several.withColumn("many", F.lit(True)), ["doc_id"], "doc_id", "left")
+    single = F.when(F.col("many").isNull(), F.col("doc_id"))
+    least = materialize(many.groupBy("set_key").agg(F.coalesce(F.min(single), F.min("doc_id")).alias("rep")), "least")
+    # a written table, so that a class of many copies is split where it is joined
+    found = many.join(least, "set_key").select("doc_id", "rep", "many")
+    return found.where("many is null").drop("many"), found.where("many").drop("many")
+
+
+def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, local: int = LOCAL, together: int = TOGETHER) -> DataFrame:
+    """Pairs between representatives, and each other member of a class with its own."""
     drawn = materialize(sketches(docs, n), "sketches")
-    classes = materialize(classes_of(drawn), "classes")
-    reps = drawn.join(classes.where("doc_id = rep").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch")
-    reps = materialize(reps, "reps")
-    pairs = materialize(candidates(reps, threshold, small=small, runs=runs).where("a < b"), "candidates")
-    shared = classes.where("key is not null")
-    equal = shared.where("many").select("key", F.col("doc_id").alias("x")).join(shared.where("doc_id = rep").select("key", "rep"), "key").where("x <> rep")
-    equal = equal.select(F.least("x", "rep").alias("doc_a"), F.greatest("x", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    return verified(docs, pairs, n, threshold).union(equal).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard")), classes
-
-
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL) -> DataFrame:
-    """The compact form: pairs between representatives, and each other member of a class with its own."""
-    found, classes = edges(docs, n, threshold, runs, small)
-    return found.union(classes.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
-
-
-def all_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """Every pair of documents: the compact form joined back to the members of both classes, and all pairs within a class.
-
-    Members are joined as blocks of ids and become rows after the last shuffle, so that it grows with the blocks, not with the pairs.
-    """
-    found, classes = edges(docs, n, threshold, runs, small)
-    own = Window.partitionBy("rep")
-    held = classes.where("not many").withColumn("m", F.count(F.lit(1)).over(own)).withColumn("nth", F.row_number().over(own.orderBy("doc_id"))).where("m > 1")
-    blocks = held.groupBy("rep", F.floor((F.col("nth") - 1) / block).alias("block")).agg(F.collect_list("doc_id").alias("ids"))
-    blocks = materialize(blocks, "blocks")
-
-    def side(k: str) -> DataFrame:
-        return blocks.select(F.col("rep").alias(f"doc_{k}"), F.col("block").alias(f"block_{k}"), F.col("ids").alias(f"ids_{k}")).hint("merge")
-
-    within = side("a").join(side("b").withColumnRenamed("doc_b", "doc_a"), "doc_a").where("block_a <= block_b").repartition("doc_a", "block_a", "block_b")
-    within = within.select(F.explode("ids_a").alias("x"), "ids_b").select("x", F.explode("ids_b").alias("y")).where("x < y").select("x", "y", F.lit(1.0).alias("jaccard"))
-    met = found.join(side("a"), "doc_a", "left").join(side("b"), "doc_b", "left")
-    # a representative without copies has no block
-    met = met.select("jaccard", F.coalesce("ids_a", F.array("doc_a")).alias("ids_a"), F.coalesce("ids_b", F.array("doc_b")).alias("ids_b"))
-    across = met.select("jaccard", F.explode("ids_a").alias("x"), "ids_b").select("jaccard", "x", F.explode("ids_b").alias("y"))
-    return within.union(across.select("x", "y", "jaccard")).select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    one, many = map(materialize, classes_of(drawn), ("classes", "many"))
+    stand = one.select("rep").union(many.select("doc_id")).distinct().withColumnRenamed("rep", "doc_id")
+    reps = materialize(drawn.join(stand, "doc_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch"), "reps")
+    pairs = materialize(candidates(reps, threshold, small=small, runs=runs, local=local).where("a < b"), "candidates")
+    member = one.union(many).where("doc_id <> rep").select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+    found = verified(docs, pairs, n, threshold, together).union(member)
+    # only documents of several sets can be in a pair twice
+    return found if many.isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return all_pairs(table(spark, sf_dir, "documents"))
+    return near_pairs(table(spark, sf_dir, "documents"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group (component of near duplicates) stays: that of the least doc_id.
 
-    Rows that share a doc_id are one document, of which one row stays. Rows with a NULL doc_id all stay.
+    Rows that share a doc_id are one document, of which one row stays (the least text). Rows with a NULL doc_id all stay. Only rows that may go are
+    shuffled: a filter of the ids that go lets the others pass.
     """
-    pairs = materialize(near_pairs(docs), "pairs")
+    pairs = near_pairs(docs)
     roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "groups")
-    gone = materialize(roots.where("v <> root").select(F.col("v").alias("_gl_id")).distinct(), "gone")
-    again = materialize(docs.where("doc_id is not null").groupBy(F.col("doc_id").cast("bigint").alias("_gl_id")).agg(F.count(F.lit(1)).alias("_gl_n")).where("_gl_n > 1").select("_gl_id"), "repeated")
-    same = docs["doc_id"].cast("bigint") == F.col("_gl_id")
-    once = docs.join(gone.union(again).hint("merge"), same, "left_anti")  # as in `verified`
-    first = docs.join(again, same, "left_semi").join(gone, same, "left_anti")
-    # one row of each doc_id; row_number, as columns of any type (maps too) may be there
-    w = Window.partitionBy(F.col("doc_id").cast("bigint")).orderBy(F.col("text"))
-    first = first.withColumn("_gl_rn", F.row_number().over(w)).where("_gl_rn = 1").drop("_gl_rn")
-    return once.union(first)
+    key = F.col("doc_id").cast("bigint")
+    again = materialize(docs.where("doc_id is not null").groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
+    gone = materialize(roots.where("v <> root").select(F.col("v").alias("id")).distinct(), "gone")
+    if again.isEmpty():
+        return without(docs, gone)
+    both = materialize(gone.union(again).distinct(), "apart")
+    # one row of each repeated doc_id; the least by text and a hash of what can be hashed, aggregated before it is shuffled
+    stay = materialize(again.join(gone, "id", "left_anti"), "stay")
+    plain = [f"`{f.name}`" for f in docs.schema.fields if not any(x in f.dataType.simpleString() for x in ("map", "variant"))]
+    whole = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("doc")
+    rows = docs.where("doc_id is not null").select(key.alias("id"), whole, F.struct(F.coalesce("text", F.lit("")), F.xxhash64(*plain)).alias("o"))
+    first = looked_up(rows, stay, ["id"], "id").groupBy("id").agg(F.min_by("doc", "o").alias("doc")).select("doc.*")
+    return without(docs, both).union(first)
