@@ -1,8 +1,8 @@
 """Byte-level BPE over whole Arrow batches, equal to the tokenizer's own encoding id for id.
 
-The pre-tokenizer never lets a token run across a single blank that has no other white space next to it: the blank
-opens the next token. So such a text is cut at its blanks, each distinct word of the batch is encoded once, and the
-ids are put together by array indexing. Texts with a blank next to other white space are encoded whole.
+The pre-tokenizer never lets a token run across a blank between two characters that aren't white space: the blank
+opens the next token. So texts are cut at such blanks, each distinct word of the batch is encoded once, and the
+ids are put together by array indexing. Words beside other blanks stay together with these.
 """
 
 from __future__ import annotations
@@ -21,8 +21,8 @@ import tiktoken
 TOKENIZERS = os.environ.get("GLEANER_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = "byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: A blank beside other white space: RE2's \s is ASCII, the rest is spelt out.
-LOOSE = r"(?:[\s\x0b\x1c-\x1f\x{85}\p{Z}] )|(?: [\s\x0b\x1c-\x1f\x{85}\p{Z}])|(?:^ )|(?: $)"
+#: White space, and more: RE2's \s is ASCII, the rest is spelt out.
+WHITE = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 
 
 @functools.lru_cache(maxsize=2)
@@ -53,6 +53,44 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(total, dtype=np.int64) + np.repeat(starts - ends + lengths, lengths)
 
 
+def matches(words: pa.Array, pattern: str) -> np.ndarray:
+    return pc.match_substring_regex(words, pattern).to_numpy(zero_copy_only=False).astype(bool)
+
+
+def words_of(texts: pa.Array) -> tuple[pa.Array, pa.Array, np.ndarray, np.ndarray]:
+    """Texts cut at each blank between characters that aren't white space.
+
+    Distinct words that follow such a blank (given without it); other distinct strings, which are the texts' first words and what has
+    loose blanks in it (with the blank before, where it isn't a first word); the number of each word in order (the others'
+    follow on those of the former), and the words of each text. A text has one at least.
+    """
+    split = pc.split_pattern(texts, " ")
+    offsets = split.offsets.to_numpy().astype(np.int64)
+    values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
+    offsets = offsets - offsets[0]
+    coded = values.dictionary_encode()
+    codes, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+    lead = np.zeros(len(codes), bool)
+    lead[offsets[:-1]] = True
+    opens, closes = matches(distinct, f"^{WHITE}|^$"), matches(distinct, f"{WHITE}$|^$")
+    glued = np.zeros(len(codes), bool)
+    glued[1:] = (closes[codes[:-1]] | opens[codes[1:]]) & ~lead[1:]
+    first = np.flatnonzero(~glued)
+    size = np.diff(np.append(first, len(codes)))
+    per = np.add.reduceat(~glued, offsets[:-1]).astype(np.int64) if len(texts) else np.zeros(0, np.int64)
+    head, more = lead[first], size > 1
+    simple = ~head & ~more
+    used, at = np.unique(codes[first[simple]], return_inverse=True)
+    out = np.zeros(len(first), np.int64)
+    out[simple] = at
+    parts = values.take(pa.array(ragged(first[more], size[more]))).to_pylist()
+    ends = np.cumsum(size[more])
+    long = [("" if h else " ") + " ".join(parts[z - k : z]) for h, k, z in zip(head[more], size[more].tolist(), ends.tolist())]
+    others = pa.concat_arrays([values.take(pa.array(first[head & ~more])), pa.array(long, values.type)]).dictionary_encode()
+    out[np.concatenate([np.flatnonzero(head & ~more), np.flatnonzero(more)])] = others.indices.to_numpy() + len(used)
+    return distinct.take(pa.array(used)), others.dictionary, out, per
+
+
 class BatchEncoder:
     def __init__(self, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
         self.encoding = encoding(folder, vocabulary)
@@ -72,40 +110,20 @@ class BatchEncoder:
         return np.fromiter(itertools.chain.from_iterable(found), np.int32, int(counts.sum())), counts
 
     def pieces(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Texts as lists of distinct pieces: (ids, id count of each piece, first id of each, piece numbers, pieces a text)."""
-        loose = pc.match_substring_regex(texts, LOOSE).to_numpy(zero_copy_only=False).astype(bool)
-        tight = texts.filter(pa.array(~loose))
-        split = pc.split_pattern(tight, " ")
-        values, offsets = split.values, split.offsets.to_numpy().astype(np.int64)
-        coded = values.slice(offsets[0], offsets[-1] - offsets[0]).dictionary_encode() if len(split) else pa.array([], pa.string()).dictionary_encode()
-        offsets = offsets - offsets[0]
-        codes = coded.indices.to_numpy().astype(np.int64)
-        distinct = coded.dictionary
-        n = len(distinct)
-        lead = offsets[:-1]
-        blank = pc.match_substring_regex(distinct, r"[\s\x0b\x1c-\x1f\x{85}\p{Z}]").to_numpy(zero_copy_only=False).astype(bool)
+        """Texts as lists of distinct words: (ids, id count of each word, first id of each, word numbers, words a text)."""
+        spaced, extra, codes, per = words_of(texts)
+        blank = matches(spaced, WHITE)
         plain, odd = np.flatnonzero(~blank), np.flatnonzero(blank)
-        a_ids, a_n = self.spaced(distinct.take(pa.array(plain)).to_pylist())
-        b_ids, b_n = self.each([" " + x for x in distinct.take(pa.array(odd)).to_pylist()])
-        first_codes, first_at = np.unique(codes[lead], return_inverse=True)
-        c_ids, c_n = self.each(distinct.take(pa.array(first_codes)).to_pylist())
-        d_ids, d_n = self.each(texts.filter(pa.array(loose)).to_pylist())
-        counts = np.zeros(n + len(c_n) + len(d_n), np.int64)
-        counts[plain], counts[odd], counts[n : n + len(c_n)], counts[n + len(c_n) :] = a_n, b_n, c_n, d_n
-        ids = np.concatenate([a_ids, b_ids, c_ids, d_ids])
+        a_ids, a_n = self.spaced(spaced.take(pa.array(plain)).to_pylist())
+        b_ids, b_n = self.each([" " + x for x in spaced.take(pa.array(odd)).to_pylist()])
+        c_ids, c_n = self.each(extra.to_pylist())
+        n = len(spaced)
+        counts = np.zeros(n + len(c_n), np.int64)
+        counts[plain], counts[odd], counts[n:] = a_n, b_n, c_n
         order = np.concatenate([plain, odd, np.arange(n, len(counts))])
         starts = np.zeros(len(counts), np.int64)
         starts[order] = np.cumsum(counts[order]) - counts[order]
-        codes[lead] = n + first_at
-        per = np.ones(len(texts), np.int64)
-        per[~loose] = np.diff(offsets)
-        all_codes = np.empty(int(per.sum()), np.int64)
-        at = np.cumsum(per) - per
-        all_codes[at[loose]] = n + len(c_n) + np.arange(len(d_n))
-        mask = np.ones(len(all_codes), bool)
-        mask[at[loose]] = False
-        all_codes[mask] = codes
-        return ids, counts, starts, all_codes, per
+        return np.concatenate([a_ids, b_ids, c_ids]), counts, starts, codes, per
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each. NULL and '' have none."""

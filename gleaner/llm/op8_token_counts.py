@@ -5,60 +5,69 @@ form a broadcast table that settles most of every document where it is read; the
 their frequencies, are joined to the table of distinct pre-tokens by a shuffle. Both parts are exact, whatever HEAD is:
 it only moves pre-tokens between them, and takes the hot keys out of the join.
 
-Pre-tokens are cut at single blanks (see bpe.py: the tokenizer never joins across those), so a pre-token here is a
-word with the blank before it, or a text's first word without.
+Pre-tokens are those of the tokenizer's own pattern. A batch is cut at blanks first (see bpe.py), and the pattern is applied once to
+each distinct word; a pre-token is a word, a number, a run of signs or of white space, so none grows with a text.
 
 Defined results: NULL and empty texts count 0. A NULL doc_id is counted as one document, NULL. Rows of the same doc_id are
-one document: their counts are added. An empty table gives an empty result.
+one document: their counts are added. Very long texts are cut like others. Of equally frequent pre-tokens the lesser are in the
+head first, which moves no count. An empty table gives an empty result. Columns but doc_id and text, of whatever names, aren't read.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.bpe import LOOSE, TOKENIZERS, VOCABULARY, BatchEncoder, encoding, filled
-from gleaner.llm.common import materialize, table
+from gleaner.llm.bpe import PATTERN, TOKENIZERS, VOCABULARY, encoding, filled, matches, ragged, words_of
+from gleaner.llm.common import materialize, sliced, table
 
 HEAD = 1 << 17
-
-
-def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """Pre-tokens of all texts, in order, and the number of each text. Texts with loose white space are one pre-token."""
-    texts = filled(texts)
-    loose = pc.match_substring_regex(texts, LOOSE)
-    split = pc.split_pattern(pc.if_else(loose, "", texts), " ")
-    offsets = split.offsets.to_numpy().astype(np.int64)
-    values = split.values.slice(offsets[0], offsets[-1] - offsets[0])
-    lead = np.zeros(len(values), bool)
-    lead[offsets[:-1] - offsets[0]] = True
-    whole = pc.take(texts, pa.array(np.repeat(np.arange(len(texts)), np.diff(offsets))[lead]))
-    first = pc.if_else(pc.take(loose, pa.array(np.arange(len(texts)))), whole, values.filter(pa.array(lead)))
-    spaced = pc.binary_join_element_wise("", values, " ")
-    return pc.replace_with_mask(spaced, pa.array(lead), first), np.diff(offsets)
-
-
-def _tables(batches: Iterator[pa.RecordBatch], n: int = 4000) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, n):
-            yield b.slice(at, n)
+PART = 4000
+CUT = regex.compile(PATTERN).findall
+
+
+def coded(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens; for each distinct word its pre-tokens: all of them, where its own begin, how many; and the texts' words (see words_of)."""
+    spaced, extra, codes, per = words_of(filled(texts))
+    plain = matches(spaced, r"^\p{L}+$")
+    whole = pc.binary_join_element_wise("", spaced, " ")
+    found = list(map(CUT, [*whole.filter(pa.array(~plain)).to_pylist(), *extra.to_pylist()]))
+    order = np.concatenate([np.flatnonzero(plain), np.flatnonzero(~plain), np.arange(len(spaced), len(spaced) + len(extra))])
+    n_of = np.ones(len(order), np.int64)
+    n_of[order[int(plain.sum()) :]] = np.fromiter(map(len, found), np.int64, len(found))
+    start = np.zeros(len(order), np.int64)
+    start[order] = np.cumsum(n_of[order]) - n_of[order]
+    tokens = pa.concat_arrays([whole.filter(pa.array(plain)), pa.array(itertools.chain.from_iterable(found), whole.type)]).dictionary_encode()
+    return tokens.dictionary, tokens.indices.to_numpy().astype(np.int64), start, n_of, codes, per
+
+
+def cut(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pre-tokens; (text, pre-token, count) without repetition, sorted."""
+    tokens, own, start, n_of, codes, per = coded(texts)
+    # each text's distinct words with their counts, then their pre-tokens
+    pair, count = np.unique(np.repeat(np.arange(len(per)), per) * len(n_of) + codes, return_counts=True)
+    text, word = pair // max(1, len(n_of)), pair % max(1, len(n_of))
+    k, size = n_of[word], max(1, len(tokens))
+    keys, at = np.unique(np.repeat(text, k) * size + own[ragged(start[word], k)], return_inverse=True)
+    return tokens, keys // size, keys % size, np.bincount(at, np.repeat(count, k), len(keys)).astype(np.int64)
 
 
 def distinct(docs: DataFrame) -> DataFrame:
     """Each distinct pre-token with its number of occurrences."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _tables(batches):
-            if not b.num_rows:
-                continue
-            found = cut(b.column(0))[0].dictionary_encode()
-            count = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
-            yield pa.RecordBatch.from_arrays([found.dictionary, pa.array(count, pa.int64())], ["token", "n"])
+        for b in sliced(batches, PART):
+            tokens, own, start, n_of, codes, _ = coded(b.column(0))
+            times = np.repeat(np.bincount(codes, minlength=len(n_of)), n_of)
+            n = np.bincount(own[ragged(start, n_of)], times, len(tokens)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([tokens, pa.array(n)], ["token", "n"])
 
     return docs.select("text").mapInArrow(run, "token string, n bigint").groupBy("token").agg(F.sum("n").alias("n"))
 
@@ -86,26 +95,19 @@ def counted(docs: DataFrame, head: int = HEAD, folder: str = TOKENIZERS, vocabul
         t = shared.value
         names = t.column(0).combine_chunks()
         pieces = np.append(t.column(1).to_numpy(), 0)
-        for b in _tables(batches):
-            if not b.num_rows:
-                continue
-            tokens, per = cut(b.column(1))
-            found = tokens.dictionary_encode()
-            words = found.dictionary
+        for b in sliced(batches, PART):
+            words, doc, code, n = cut(b.column(1))
             at = pc.index_in(words, value_set=names)
             at = np.where(pc.is_null(at).to_numpy(zero_copy_only=False), -1, pc.fill_null(at, 0).to_numpy())
-            codes = found.indices.to_numpy().astype(np.int64)
-            doc = np.repeat(np.arange(b.num_rows), per)
-            sums = np.bincount(doc, pieces[at][codes], b.num_rows).astype(np.int64)
-            rest = at[codes] < 0
-            pair, count = np.unique(doc[rest] * len(words) + codes[rest], return_counts=True)
-            d, w = pair // max(1, len(words)), pair % max(1, len(words))
+            sums = np.bincount(doc, pieces[at][code] * n, b.num_rows).astype(np.int64)
+            rest = at[code] < 0
+            d, w = doc[rest], code[rest]
             ids = pc.take(b.column(0), pa.array(np.concatenate([np.arange(b.num_rows), d])))
-            # a document's settled part has a key that no pre-token has, spread over the partitions
+            # a document's settled part has a key that no pre-token has (it mixes signs and digits), spread over the partitions
             own = pa.array([f"\x00\x00{x}" for x in b.column(0).to_pylist()], pa.string())
-            keys = pa.concat_arrays([own, words.take(pa.array(w))])
+            keys = pa.concat_arrays([own, words.take(pa.array(w)).cast(pa.string())])
             yield pa.RecordBatch.from_arrays(
-                [ids, keys, pa.array(np.concatenate([np.zeros(b.num_rows, np.int64), count])), pa.array(np.concatenate([sums, np.zeros(len(d), np.int64)]))],
+                [ids, keys, pa.array(np.concatenate([np.zeros(b.num_rows, np.int64), n[rest]])), pa.array(np.concatenate([sums, np.zeros(len(d), np.int64)]))],
                 ["doc_id", "token", "n", "settled"],
             )
 

@@ -1,12 +1,15 @@
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import regex
 
-from gleaner.llm.bpe import BatchEncoder, encoding
+from gleaner.llm.bpe import PATTERN, BatchEncoder, encoding
 from gleaner.llm.op3_wavelet import Wavelet, build, locate, shards
+from gleaner.llm import op8_token_counts as op8
 from gleaner.llm.op8_token_counts import counted
 from gleaner.llm.op9_best_fit_packing import fullest, pack, packed, token_lengths
 
@@ -76,6 +79,18 @@ def test_counts(spark, head):
     assert counted(docs.limit(0)).count() == 0
 
 
+def test_pretokens_are_those_of_the_pattern():
+    loose = ["Hello there.  This is\n\n  a web page , with   blanks.\n" * 3, " x", "x ", "  ", "", "a\tb  \n c", *texts(3000)]
+    tokens, text, at, n = op8.cut(pa.array(loose))
+    got = [{} for _ in loose]
+    for i, t, k in zip(text.tolist(), tokens.take(pa.array(at)).to_pylist(), n.tolist()):
+        got[i][t] = k
+    assert got == [dict(Counter(regex.findall(PATTERN, x))) for x in loose]
+    # no key is longer than a word, whatever white space every document has
+    long = ["word  and\n word " * 5000] * 3
+    assert max(map(len, op8.cut(pa.array(long))[0].to_pylist())) <= 5
+
+
 def test_fullest_against_brute_force():
     r = random.Random(3)
     for _ in range(200):
