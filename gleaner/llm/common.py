@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import threading
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gleaner.sources import shared
 from gleaner.sources.shared import fresh_path as fresh_path  # noqa: PLC0414
-from gleaner.sources.shared import materialize as materialize  # noqa: PLC0414
 from gleaner.sources.shared import release as release  # noqa: PLC0414
 
 #: Rows of a side that may be broadcast: a count is taken before, and beyond it another plan is used.
@@ -20,6 +24,37 @@ FILTER_BITS = 1 << 28
 FILTER_HASHES = 4
 
 
+_open = threading.local()
+
+
+def materialize(df: DataFrame, tag: str) -> DataFrame:
+    """See shared.materialize; within `scratch`, the table is deleted at its end, unless it is `lasting`."""
+    out = shared.materialize(df, tag)
+    if levels := getattr(_open, "levels", None):
+        levels[-1].append(out)
+    return out
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables materialized within, at its end. Nothing lazy that reads them may leave it."""
+    _open.levels = [*getattr(_open, "levels", []), []]
+    try:
+        yield
+    finally:
+        for df in _open.levels.pop():
+            release(df)
+
+
+def lasting(df: DataFrame) -> DataFrame:
+    """A table of this `scratch` that outlasts it."""
+    if levels := getattr(_open, "levels", None):
+        levels[-1].remove(df)
+        if len(levels) > 1:
+            levels[-2].append(df)
+    return df
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

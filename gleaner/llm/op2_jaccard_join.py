@@ -17,11 +17,12 @@ documents of one connected component of candidates meet in one task, each with i
 TOGETHER documents as pairs of blocks), and the exact Jaccard of every candidate pair decides. No cap is set on
 partners or candidates.
 
-Result (`near_pairs`): doc_a < doc_b and jaccard, in the compact form: all pairs between representatives at or over THRESHOLD, and each
-other member of a class with its representative at 1.0. Every pair of documents follows: both ends' representatives
-are one, or paired. The rows grow with the documents and the pairs of different texts, not with the square of a class.
+Result of the query: one row for each document, with class_id, the least doc_id of the group of documents that links
+connect, and n_links, the number of other documents at or over THRESHOLD. Links between representatives count with the
+sizes of their classes, so copies aren't expanded into pairs. `near_pairs` gives the pairs themselves in a compact form:
+all between representatives, and each other member of a class with its representative at 1.0.
 
-Defined results: NULL and empty texts, and NULL doc_ids, pair with nothing. A text of fewer than N words has one
+Defined results: NULL and empty texts are linked to nothing; NULL doc_ids have no row. A text of fewer than N words has one
 n-gram, all its words. Very long texts count whole. A pair of exactly THRESHOLD is one. Of equal sets the least doc_id
 represents. Rows of one doc_id are one document; if their texts differ, the best pair counts, and the document is compared
 as itself, in no class; its equals are paired with it once. An empty table has no pairs. Columns but doc_id and text,
@@ -41,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from gleaner.llm.common import id_filter, id_hash, looked_up, materialize, release, sliced, table, without
+from gleaner.llm.common import id_filter, id_hash, lasting, looked_up, materialize, release, scratch, sliced, table, without
 from gleaner.llm.ngrams import minhash, mix, shingles
 
 N = 3
@@ -192,7 +193,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
     sketch = reps.select("doc_id", "sketch")
     found, level, ready = materialize(nodes(reps, threshold, start, runs), "nodes"), start, []
     while True:
-        large = materialize(found.groupBy("node").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > local), "large")
+        large = materialize(_often(found).groupBy("node").agg(F.sum("m").alias("m")).where(F.col("m") > local), "large")
         none = large.isEmpty()
         here = found if none else looked_up(found, large.select("node"), ["node"], "doc_id", "left_anti")
         shared = here.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("m > 1")
@@ -237,6 +238,18 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
     return met.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _often(found: DataFrame) -> DataFrame:
+    """Counts of nodes, task by task, without those that a task has once: what is left out of a node's count is a document a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        all_nodes = [b.column(0).to_numpy() for b in batches]
+        if all_nodes:
+            node, m = np.unique(np.concatenate(all_nodes), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(node[m > 1]), pa.array(m[m > 1])], ["node", "m"])
+
+    return found.select("node").mapInArrow(run, "node bigint, m bigint")
+
+
 def _below(held: DataFrame, threshold: float) -> DataFrame:
     """The children of (node, doc_id, sketch), row by row."""
 
@@ -372,21 +385,51 @@ def classes_of(drawn: DataFrame) -> tuple[DataFrame, DataFrame]:
     return found.where("many is null").drop("many"), found.where("many").drop("many")
 
 
-def near_pairs(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, local: int = LOCAL, together: int = TOGETHER) -> DataFrame:
+def graph(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int = RUNS, small: int = SMALL, local: int = LOCAL, together: int = TOGETHER) -> tuple[DataFrame, DataFrame]:
+    """Links between representatives (doc_a < doc_b, jaccard), and (doc_id, rep) of the documents of one set; written tables."""
+    with scratch():
+        drawn = materialize(sketches(docs, n), "sketches")
+        one, many = map(materialize, classes_of(drawn), ("classes", "many"))
+        stand = one.select("rep").union(many.select("doc_id")).distinct().withColumnRenamed("rep", "doc_id")
+        with scratch():
+            reps = materialize(drawn.join(stand, "doc_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch"), "reps")
+            pairs = lasting(materialize(candidates(reps, threshold, small=small, runs=runs, local=local).where("a < b"), "candidates"))
+        found = verified(docs, pairs, n, threshold, together)
+        if not many.isEmpty():  # only documents of several sets can be in a pair twice
+            own = many.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
+            found = found.union(own).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+        return lasting(materialize(found, "links")), lasting(one)
+
+
+def near_pairs(docs: DataFrame, **how) -> DataFrame:
     """Pairs between representatives, and each other member of a class with its own."""
-    drawn = materialize(sketches(docs, n), "sketches")
-    one, many = map(materialize, classes_of(drawn), ("classes", "many"))
-    stand = one.select("rep").union(many.select("doc_id")).distinct().withColumnRenamed("rep", "doc_id")
-    reps = materialize(drawn.join(stand, "doc_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch"), "reps")
-    pairs = materialize(candidates(reps, threshold, small=small, runs=runs, local=local).where("a < b"), "candidates")
-    member = one.union(many).where("doc_id <> rep").select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
-    found = verified(docs, pairs, n, threshold, together).union(member)
-    # only documents of several sets can be in a pair twice
-    return found if many.isEmpty() else found.groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
+    links, one = graph(docs, **how)
+    return links.union(one.where("doc_id <> rep").select(F.col("rep").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard")))
+
+
+def classed(links: DataFrame, one: DataFrame) -> DataFrame:
+    """(doc_id, rep, class_id) of all documents that have a copy or a link; rep is the document itself where it has several sets."""
+    with scratch():
+        roots = lasting(materialize(components(links.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "groups").withColumnsRenamed({"v": "rep", "root": "class_id"}), "roots"))
+    several = roots.join(one.select("rep"), "rep", "left_anti").select(F.col("rep").alias("doc_id"), "rep", "class_id")
+    # roots is a written table, so that a class of many copies is split where it is joined
+    return one.join(roots, "rep", "left").select("doc_id", "rep", F.coalesce("class_id", "rep").alias("class_id")).union(several)
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_pairs(table(spark, sf_dir, "documents"))
+    return counted_links(table(spark, sf_dir, "documents"))
+
+
+def counted_links(docs: DataFrame, **how) -> DataFrame:
+    """doc_id, class_id and n_links of every document."""
+    links, one = graph(docs, **how)
+    size = materialize(one.groupBy("rep").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    ends = links.select(F.col("doc_a").alias("x"), F.col("doc_b").alias("rep")).union(links.select(F.col("doc_b").alias("x"), F.col("doc_a").alias("rep")))
+    degree = ends.join(size, "rep", "left").groupBy(F.col("x").alias("rep")).agg(F.sum(F.coalesce("size", F.lit(1))).alias("degree"))
+    per = materialize(size.join(degree, "rep", "full").select("rep", (F.coalesce("size", F.lit(1)) - 1 + F.coalesce("degree", F.lit(0))).alias("n_links")), "degrees")
+    linked = classed(links, one).join(per, "rep").select("doc_id", "class_id", "n_links")
+    every = docs.select(F.col("doc_id").cast("bigint")).where("doc_id is not null").distinct()
+    return every.join(linked, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -395,11 +438,10 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Rows that share a doc_id are one document, of which one row stays (the least text). Rows with a NULL doc_id all stay. Only rows that may go are
     shuffled: a filter of the ids that go lets the others pass.
     """
-    pairs = near_pairs(docs)
-    roots = components(pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")), "groups")
+    links = classed(*graph(docs))
     key = F.col("doc_id").cast("bigint")
     again = materialize(docs.where("doc_id is not null").groupBy(key.alias("id")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id"), "repeated")
-    gone = materialize(roots.where("v <> root").select(F.col("v").alias("id")).distinct(), "gone")
+    gone = materialize(links.where("doc_id <> class_id").select(F.col("doc_id").alias("id")).distinct(), "gone")
     if again.isEmpty():
         return without(docs, gone)
     both = materialize(gone.union(again).distinct(), "apart")

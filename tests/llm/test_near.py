@@ -97,7 +97,21 @@ def test_a_shared_passage_in_many_documents(spark):
     assert len(want) >= 200 and len(got & set(want)) >= 0.97 * len(want) and got <= set(want)
 
 
-def test_every_link_follows_from_the_query(spark, tmp_path):
+def roots_of(want, every):
+    root = {i: i for i in every}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in want:
+        a, b = sorted((find(a), find(b)))
+        root[b] = a
+    return {i: find(i) for i in every}
+
+
+def test_query_gives_every_document_its_class_and_links(spark, tmp_path):
     r = random.Random(8)
     word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 6)))
     base, other = [word() for _ in range(80)], [word() for _ in range(80)]
@@ -105,26 +119,20 @@ def test_every_link_follows_from_the_query(spark, tmp_path):
     # classes of copies in interleaved ids; 900 and 901 have several texts, 7 a row twice
     texts = [(i, [" ".join(base), *near][max(0, i % 20 - 17)]) for i in range(300)]
     texts += [(300 + i, " ".join(other)) for i in range(5)] + [(305, " ".join(other[:-1] + ["edit"])), (306, " ".join(word() for _ in range(80)))]
-    texts += [(900, " ".join(base)), (900, " ".join(other)), (901, " ".join(other)), (901, " ".join(word() for _ in range(80))), texts[7]]
+    texts += [(901, " ".join(other)), (901, " ".join(word() for _ in range(80))), texts[7], (400, None), (401, ""), (None, texts[0][1])]
     r.shuffle(texts)
     spark.createDataFrame([(i, x, "en", "h", None) for i, x in texts], SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
     sets = {}
     for i, x in texts:
-        sets.setdefault(i, set()).add(grams(x))
+        if i is not None:
+            sets.setdefault(i, set()).update([grams(x)] if grams(x) else [])
     known = {(x, y): len(x & y) / len(x | y) for v in sets.values() for x in v for w in sets.values() for y in w}
-    want = {(a, b): max(known[x, y] for x in sets[a] for y in sets[b]) for a in sets for b in sets if a < b}
-    want = {p: j for p, j in want.items() if j >= op2.THRESHOLD}
-    got = [((x.doc_a, x.doc_b), x.jaccard) for x in op2.op2_jaccard_join(spark, str(tmp_path)).collect()]
-    assert len(got) == len(dict(got)) and all(want[p] == pytest.approx(j) for p, j in got) and len(got) < 400
-    # members of one class are those at 1.0 of a representative
-    rep = {}
-    for i in sorted(i for i in sets if len(sets[i]) == 1):
-        rep.setdefault(next(iter(sets[i])), i)
-    at = {i: rep[next(iter(v))] if len(v) == 1 else i for i, v in sets.items()}
-    for a, b in want:
-        x, y = sorted((at[a], at[b]))
-        assert x == y or (x, y) in dict(got)
-    assert op2.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
+    want = {(a, b) for a in sets for b in sets if a < b and max((known[x, y] for x in sets[a] for y in sets[b]), default=0) >= op2.THRESHOLD}
+    root = roots_of(want, sets)
+    degree = {i: sum(i in p for p in want) for i in sets}
+    got = [tuple(x) for x in op2.op2_jaccard_join(spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted((i, root[i], degree[i]) for i in sets)
+    assert op2.counted_links(spark.createDataFrame([], SCHEMA)).count() == op2.near_pairs(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
 def test_splitting_finds_pairs_in_large_buckets():
@@ -192,7 +200,6 @@ def test_one_of_each_group_stays(spark, docs, rows):
     every = {r[0] for r in rows}
     assert sorted(map(str, ids)) == sorted(str(i) for i in every if i is None or find(i) == i)
     assert op2.stage(spark, docs.limit(0), "").count() == 0
-    assert op2.near_pairs(docs.limit(0)).count() == 0
 
 
 def test_pipeline_against_its_parts(spark, rows, tmp_path):

@@ -100,6 +100,43 @@ def test_pairs_count_more_than_their_terms(spark):
     assert ((flat != y).sum()) > (p != y).sum()
 
 
+def test_logits_are_the_sum_over_pairs():
+    r = np.random.default_rng(3)
+    m = op7.Machine(np.arange(6, dtype=np.uint32), r.normal(size=6), r.normal(size=(6, op7.FACTORS)), 0.3)
+    has = [sorted(r.choice(6, k, replace=False).tolist()) for k in (0, 1, 2, 4, 6)]
+    doc, at = np.array([(i, t) for i, x in enumerate(has) for t in x]).T
+    want = [m.w0 + sum(m.w[t] for t in x) + sum(float(m.v[s] @ m.v[t]) for k, s in enumerate(x) for t in x[k + 1 :]) for x in has]
+    assert np.allclose(m.logits(doc, at, len(has)), want)
+
+
+def test_terms_that_tell_only_in_pairs():
+    def probe(n, seed):
+        r = random.Random(seed)
+        words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randrange(2, 8))) for _ in range(3000)]
+        out = []
+        for _ in range(n):
+            w, u = [r.choice(words) for _ in range(r.randrange(30, 60))], r.random()
+            kind = 1 if u < 0.04 else 2 if u < 0.2 else 0
+            w += [["dolt"], ["martian"], [], [], [], [], [], [], [], []][r.randrange(10)] if kind == 0 else ["dolt", "martian"] if kind == 1 else [r.choice(["zorgl", "fnarf"])]
+            r.shuffle(w)
+            out.append((" ".join(w), kind))
+        return out
+
+    known, new = probe(6000, 1), probe(3000, 2)
+    doc, term = op7.terms(pa.array([t for t, _ in known]))
+    m = op7.fit(doc, term, np.array([float(k > 0) for _, k in known]))
+    p, kind = m.score(pa.array([t for t, _ in new])) >= 0.5, np.array([k for _, k in new])
+    assert p[kind == 1].mean() >= 0.9 and p[kind == 2].mean() >= 0.95 and p[kind == 0].mean() <= 0.01
+
+
+def test_only_copies_are_left_out():
+    r = random.Random(6)
+    texts = [" ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(80)) for _ in range(50)]
+    passage = " ".join("".join(r.choice("abcdef") for _ in range(5)) for _ in range(30))
+    many = [x for t in texts for x in (t + " " + passage, t + " " + passage + " more", "")]
+    assert op7.Copies().fresh(pa.array(many)).tolist() == sorted([3 * i for i in range(50)] + [3 * i + 2 for i in range(50)])
+
+
 def test_odd_rows_and_missing_classes(spark, tmp_path):
     known = toxic_docs(600, 3)
     rows = [x[:2] for x in known] + [(None, "dolt martians"), (1000, None), (1001, ""), (1002, "dolt martians " + "plain " * 50000), (1002, "dolt martians")]
