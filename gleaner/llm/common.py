@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import threading
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -37,13 +38,30 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
 
 @contextmanager
 def scratch() -> Iterator[None]:
-    """Deletes the tables materialized within, at its end. Nothing lazy that reads them may leave it."""
+    """Deletes the tables materialized within, at its end. Nothing lazy that reads them may leave it.
+
+    Spark deletes the shuffle files of jobs whose plans are garbage: both collectors are told to look.
+    """
+    spark = SparkSession.active()
     _open.levels = [*getattr(_open, "levels", []), []]
     try:
         yield
     finally:
         for df in _open.levels.pop():
             release(df)
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+
+
+@contextmanager
+def tables_made() -> Iterator[list[DataFrame]]:
+    """The tables materialized within, for who knows when they are done with."""
+    made: list[DataFrame] = []
+    _open.levels = [*getattr(_open, "levels", []), made]
+    try:
+        yield made
+    finally:
+        _open.levels.pop()
 
 
 def lasting(df: DataFrame) -> DataFrame:

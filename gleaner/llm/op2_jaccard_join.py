@@ -211,6 +211,12 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
     met = reduce(DataFrame.union, ready).join(sketch, "doc_id").select("node", "doc_id", "sketch", "level")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n_held = [], 0
+
+        def out() -> pa.RecordBatch:
+            p = np.unique(np.concatenate(held), axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+
         for t in _groups(batches):
             node = t.column("node").to_numpy().view(np.uint64)
             docs = t.column("doc_id").to_numpy()
@@ -232,8 +238,13 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
                 for i, j in split(node[a], sketch[a:z], int(depth[a]), threshold, small, levels, least):
                     pairs.append(np.stack([docs[a:z][i], docs[a:z][j]], 1))
             if pairs:
-                p = np.unique(np.sort(np.concatenate(pairs), 1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
+                held.append(np.unique(np.sort(np.concatenate(pairs), 1), axis=0))
+                n_held += len(held[-1])
+            if n_held > 1 << 20:
+                yield out()
+                held, n_held = [], 0
+        if held:
+            yield out()
 
     return met.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -394,7 +405,8 @@ def graph(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int =
         with scratch():
             reps = materialize(drawn.join(stand, "doc_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch"), "reps")
             pairs = lasting(materialize(candidates(reps, threshold, small=small, runs=runs, local=local).where("a < b"), "candidates"))
-        found = verified(docs, pairs, n, threshold, together)
+        with scratch():
+            found = lasting(materialize(verified(docs, pairs, n, threshold, together), "verified"))
         if not many.isEmpty():  # only documents of several sets can be in a pair twice
             own = many.where("doc_id <> rep").select(F.least("doc_id", "rep").alias("doc_a"), F.greatest("doc_id", "rep").alias("doc_b"), F.lit(1.0).alias("jaccard"))
             found = found.union(own).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
