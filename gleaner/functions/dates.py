@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,20 +13,17 @@ NOISE_WORDS = ["last modified", *"added at by created date on posted published s
 NOISE = rf"(?i)\b(?:{'|'.join(NOISE_WORDS)})\b[:{SPACE}]*"
 SECONDS = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800, "month": 30 * 86400, "year": 365 * 86400}
 RELATIVE = rf"(?i)(\d+)[{SPACE}]+({'|'.join(SECONDS)})s?[{SPACE}]+ago"
-#: Shape, and pattern of the parser, in the order of precedence. A weekday is cut off first: the parser takes none.
+#: Shape, and patterns of the parser, in the order of precedence. A weekday is cut off first: the parser takes none.
 SHAPES = [
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", "y-M-d H:m:s"),
-    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", "y-M-d H:m"),
-    (r"^\d{4}-\d{1,2}-\d{1,2}$", "y-M-d"),
-    (r"^\d{4}/\d{1,2}/\d{1,2}$", "y/M/d"),
-    (r"^\d{1,2} \p{L}+ \d{4} \d{1,2}:\d{1,2}$", "d MMMM y H:m"),
-    (r"^\d{1,2} \p{L}+ \d{4}$", "d MMMM y"),
-    (r"^\d{1,2} \p{L}+ \d{4}$", "d MMM y"),
-    (r"^\p{L}+ \d{1,2} \d{4}$", "MMMM d y"),
-    (r"^\p{L}+ \d{1,2} \d{4}$", "MMM d y"),
-    (r"^\d{1,2}-\d{1,2}-\d{4}$", "d-M-y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/y"),
-    (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/y"),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}:\d{1,2}$", ["y-M-d H:m:s"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}:\d{1,2}$", ["y-M-d H:m"]),
+    (r"^\d{4}-\d{1,2}-\d{1,2}$", ["y-M-d"]),
+    (r"^\d{4}/\d{1,2}/\d{1,2}$", ["y/M/d"]),
+    (r"^\d{1,2} \p{L}+ \d{4} \d{1,2}:\d{1,2}$", ["d MMMM y H:m"]),
+    (r"^\d{1,2} \p{L}+ \d{4}$", ["d MMMM y", "d MMM y"]),
+    (r"^\p{L}+ \d{1,2} \d{4}$", ["MMMM d y", "MMM d y"]),
+    (r"^\d{1,2}-\d{1,2}-\d{4}$", ["d-M-y"]),
+    (r"^\d{1,2}/\d{1,2}/\d{4}$", ["d/M/y", "M/d/y"]),
 ]
 WEEKDAY = r"(?i)^(?:mon|tues|wednes|thurs|fri|satur|sun)day (?=\d{1,2} \p{L}+ \d{4}$)|^(?:mon|tue|wed|thu|fri|sat|sun) (?=\d{1,2} \p{L}+ \d{4}$)"
 ISO = r"^(\d{4})-?(\d{2})-?(\d{2})(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,]\d+)?)?)?([+-]\d{2}:?\d{2}(?::?\d{2})?)?)?$"
@@ -80,21 +79,37 @@ def relative_form(s: Column, now: Column) -> Column:
     return F.when(s.rlike(RELATIVE), iso_time(F.timestamp_seconds(F.unix_timestamp(now) - n * F.try_element_at(each, unit))))
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
+def absolute_form(s: Column) -> Column:
+    """Of cleaned text. Which forms are tried follows from a few shapes, so most strings meet one parser."""
+
+    def parsed(plain: Column, pattern: str) -> Column:
+        return bound(F.try_to_timestamp(plain, F.lit(pattern)), lambda t: F.when(t.isNotNull(), _stamp(t, "H" not in pattern)))
+
+    def days(plain: Column) -> Column:
+        forms = []
+        for shape, patterns in SHAPES:
+            stamps = [parsed(plain, p) for p in patterns]
+            forms.append(F.when(plain.rlike(shape), F.coalesce(*stamps)))
+        return F.coalesce(*forms)
+
+    moment = F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$"), bound(F.try_to_timestamp(F.regexp_replace(s, "T", " "), F.lit("y-M-d H:m:s")), lambda t: F.when(t.isNotNull(), _stamp(t, False))))
+    numeric = F.when(s.rlike(r"^\d{4}-?\d{2}-?\d{2}"), iso_form(s))
+    zoned = F.when(F.contains(s, F.lit("T")), F.coalesce(zoned_form(s), moment))
+    within = bound(F.regexp_extract(s, r"(\d{4}-\d{2}-\d{2})", 1), lambda d: F.when(d != "", F.date_format(F.try_to_timestamp(d, F.lit("yyyy-MM-dd")), "yyyy-MM-dd")))
+    return F.coalesce(numeric, zoned, bound(F.regexp_replace(s, WEEKDAY, ""), days), within)
+
+
 def parse_date(raw: Column, now: Column) -> Column:
     """struct(iso, ok). `now` is a parameter, so that results can be repeated."""
-    stripped = strip(raw)
-    s = cleaned(raw)
-    plain = F.regexp_replace(s, WEEKDAY, "")
-    forms = [iso_form(s), zoned_form(s)]
-    t = F.try_to_timestamp(F.regexp_replace(s, "T", " "), F.lit("y-M-d H:m:s"))
-    forms.append(F.when(s.rlike(r"^\d{4}-\d{1,2}-\d{1,2}T\d{1,2}:\d{1,2}:\d{1,2}$") & t.isNotNull(), _stamp(t, False)))
-    for shape, pattern in SHAPES:
-        t = F.try_to_timestamp(plain, F.lit(pattern))
-        forms.append(F.when(plain.rlike(shape) & t.isNotNull(), _stamp(t, "H" not in pattern)))
-    within = F.regexp_extract(s, r"(\d{4}-\d{2}-\d{2})", 1)
-    forms.append(F.when(within != "", F.date_format(F.try_to_timestamp(within, F.lit("yyyy-MM-dd")), "yyyy-MM-dd")))
-    iso = F.when(F.coalesce(raw, F.lit("")) != "", F.coalesce(relative_form(stripped, now), F.when(s != "", F.coalesce(*forms))))
-    return F.struct(iso.alias("iso"), iso.isNotNull().alias("ok"))
+    plain = bound(cleaned(raw), lambda s: F.when(s != "", absolute_form(s)))
+    relative = bound(strip(raw), lambda s: relative_form(s, now))
+    iso = F.when(F.coalesce(raw, F.lit("")) != "", F.coalesce(relative, plain))
+    return bound(iso, lambda x: F.struct(x.alias("iso"), x.isNotNull().alias("ok")))
 
 
 def year_of(iso: Column) -> Column:

@@ -87,7 +87,7 @@ def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title"
     """`df` with the columns of RESULT. NULL fields count as empty.
 
     Several tags that hold a keyword count once; the title counts at most twice, the body up to its cap. The best score wins,
-    the first category among equals. A later category of a niche replaces the score of an earlier one.
+    the first category among equals. A later category of a niche replaces the score and matches of an earlier one, and keeps its place and slug term.
     """
     c, w = F.col, taxonomy.weights
     none = F.array().cast("array<string>")
@@ -104,44 +104,57 @@ def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title"
             "_slug": T.slugify(F.when(T.truthy(c(title)), c(title)).otherwise("story")),
         }
     )
-    hits: dict[str, Column] = {}
+    # each term is counted once in each field, and by pattern only where it occurs at all
+    terms = list(dict.fromkeys(t for cat in taxonomy.categories for k in cat.keywords if (t := normal_term(k))))
+    fields = ("_tags", "_keywords", "_title", "_body")
+    count = lambda x, t: F.when(F.contains(c(x), F.lit(t)), T.term_count(c(x), t)).otherwise(0)
+    df = df.withColumn("_n", F.array(*(count(x, t) for t in terms for x in fields)) if terms else F.array().cast("array<int>"))
+    at = {t: [F.get(c("_n"), F.lit(len(fields) * i + j)) for j in range(len(fields))] for i, t in enumerate(terms)}
+    niches: dict[str, list[Column]] = {}
     for i, cat in enumerate(taxonomy.categories):
-        points = []
+        score, labels, seeds = F.lit(0), [], []
         for k in cat.keywords:
-            term = normal_term(k)
-            if not term:
+            if not (term := normal_term(k)):
                 continue
-            found = lambda n, term=term: T.term_count(c(n), term)
-            in_body = F.least(found("_body"), F.lit(w["body_match_cap"]))
-            for label, n, score in (
-                ("tag:" + k, found("_tags"), F.lit(w["source_tag"])),
-                ("keyword:" + k, found("_keywords"), F.lit(w["meta_keyword"])),
-                ("title:" + k, found("_title"), w["title"] * F.least(found("_title"), F.lit(TITLE_CAP))),
-                (F.concat(F.lit(f"body:{k}x"), in_body.cast("string")), found("_body"), w["body"] * in_body),
-            ):
-                points.append(F.struct((n > 0).alias("hit"), F.when(n > 0, score).otherwise(0).alias("score"), (F.lit(label) if isinstance(label, str) else label).alias("label"), F.lit(plain_slug(term)).alias("seed")))
-        own = F.struct(
-            F.lit(i).alias("place"),
-            F.lit(cat.niche).alias("niche"),
-            (F.filter(F.array(*points), lambda p: p["hit"]) if points else F.array().cast("array<struct<hit: boolean, score: int, label: string, seed: string>>")).alias("hits"),
-        )
-        hits[cat.niche] = F.when(F.size(own["hits"]) > 0, own).otherwise(hits[cat.niche]) if cat.niche in hits else own
-    per = F.transform(F.array(*hits.values()), lambda h: F.struct(F.aggregate(h["hits"], F.lit(0), lambda a, x: a + x["score"]).alias("score"), (-h["place"]).alias("order"), h["niche"].alias("niche"), h["hits"].alias("hits")))
+            tags_n, keywords_n, title_n, body_n = at[term]
+            in_body = F.least(body_n, F.lit(w["body_match_cap"]))
+            score = score + F.when(tags_n > 0, w["source_tag"]).otherwise(0) + F.when(keywords_n > 0, w["meta_keyword"]).otherwise(0) + w["title"] * F.least(title_n, F.lit(TITLE_CAP)) + w["body"] * in_body
+            labels += [F.when(n > 0, F.lit(f"{kind}:{k}")) for kind, n in (("tag", tags_n), ("keyword", keywords_n), ("title", title_n))]
+            labels.append(F.when(body_n > 0, F.concat(F.lit(f"body:{k}x"), in_body.cast("string"))))
+            seeds.append(F.when(tags_n + keywords_n + title_n + body_n > 0, F.lit(plain_slug(term))))
+        niches.setdefault(cat.niche, []).append(F.struct(
+            score.alias("score"), F.lit(-i).alias("order"), F.lit(cat.niche).alias("niche"),
+            (F.array_compact(F.array(*labels)) if labels else F.array().cast("array<string>")).alias("labels"),
+            (F.coalesce(*seeds) if seeds else F.lit(None).cast("string")).alias("seed"),
+        ))
+
+    def merged(own: list[Column]) -> Column:
+        """The last category of a niche that scores, in the place of the first that does, with the first term found in any."""
+        if len(own) == 1:
+            return own[0]
+        last, first = own[0], own[-1]["order"]
+        for x in own[1:]:
+            last = F.when(x["score"] > 0, x).otherwise(last)
+        for x in reversed(own[:-1]):
+            first = F.when(x["score"] > 0, x["order"]).otherwise(first)
+        return F.struct(last["score"].alias("score"), first.alias("order"), last["niche"].alias("niche"), last["labels"].alias("labels"), F.coalesce(*(x["seed"] for x in own)).alias("seed"))
+
+    per = F.array(*map(merged, niches.values())) if niches else F.array().cast("array<struct<score: int, order: int, niche: string, labels: array<string>, seed: string>>")
     df = df.withColumn("_scored", F.filter(per, lambda x: x["score"] > 0))
     first = {x.niche: x for x in reversed(taxonomy.categories)}
     attribute = lambda key, pick: F.try_element_at(F.create_map(*(F.lit(v) for n, x in first.items() for v in (n, pick(x)))), key)
     ranked = F.sort_array(F.transform("_scored", lambda x: x["score"]), False)
-    df = df.withColumns({"_best": F.array_max(F.transform("_scored", lambda x: F.struct(x["score"], x["order"], x["niche"], x["hits"]))), "_ranked": ranked})
+    df = df.withColumns({"_best": F.array_max("_scored"), "_ranked": ranked})
     best, none_found, fall = c("_best"), F.size("_scored") == 0, taxonomy.fallback
     s1, s2 = F.get(c("_ranked"), F.lit(0)), F.coalesce(F.get(c("_ranked"), F.lit(1)), F.lit(0))
-    seed = F.coalesce(F.get(best["hits"], F.lit(0))["seed"], F.lit(""))
+    seed = F.coalesce(best["seed"], F.lit(""))
     out = {
         "primary_niche": F.coalesce(best["niche"], F.lit(fall[0])),
         "target_funnel": F.coalesce(attribute(best["niche"], lambda x: x.funnel), F.lit(fall[1])),
         "recommended_affiliate": F.coalesce(attribute(best["niche"], lambda x: x.affiliate), F.lit(fall[2])),
         "seo_slug": F.concat(c("_slug"), F.lit("-"), F.when(none_found, F.lit(fall[0])).otherwise(seed)),
         "scores": F.map_from_entries(F.transform("_scored", lambda x: F.struct(x["niche"], x["score"]))),
-        "matched_terms": F.coalesce(F.transform(best["hits"], lambda x: x["label"]), none),
+        "matched_terms": F.coalesce(best["labels"], none),
         "confidence": F.when(none_found, F.lit(0.0)).otherwise(F.bround(s1 / (s1 + s2 + F.lit(1e-6)), 4)),
     }
-    return df.withColumns(out).drop("_title", "_body", "_tags", "_keywords", "_slug", "_scored", "_best", "_ranked")
+    return df.withColumns(out).drop("_title", "_body", "_tags", "_keywords", "_slug", "_n", "_scored", "_best", "_ranked")

@@ -174,6 +174,19 @@ def test_classify(spark):
     assert got[4].matched_terms == ["tag:deep sea"] and got[4].seo_slug == "strae-deep-sea"
 
 
+def test_classify_repeated_niche(spark):
+    def of(*cats):
+        return classify.Taxonomy.of({"categories": [{"primary_niche": n, "target_funnel": f"f{i}", "recommended_affiliate": "r", "keywords": k} for i, (n, k) in enumerate(cats)]})
+
+    rows = spark.createDataFrame([("boat cloud rain",)], "title string").selectExpr("title", "array('') as tags", "cast(null as array<string>) as categories", "array('') as source_keywords", "cast(null as string) as body_text")
+    # equal scores: the niche keeps the place of its first category that scored; matches are the last one's, the slug term the first one's
+    r = classify.classified(rows, of(("a", ["boat"]), ("b", ["cloud"]), ("a", ["rain"]))).head()
+    assert (r.primary_niche, r.target_funnel, r.matched_terms, r.seo_slug) == ("a", "f0", ["title:rain"], "boat-cloud-rain-boat")
+    # a first category that doesn't score holds no place
+    r = classify.classified(rows, of(("a", ["none"]), ("b", ["cloud"]), ("a", ["rain"]))).head()
+    assert r.primary_niche == "b" and r.scores == {"a": 4, "b": 4}
+
+
 def test_store(spark):
     cols = "dedup_key string, source_url string, title string, content_hash string"
     empty = store.empty(spark, cols + ", id bigint, first_seen_at string, updated_at string, revision int")
