@@ -8,7 +8,8 @@ import pytest
 import regex
 
 from gleaner.llm.bpe import PATTERN, BatchEncoder, encoding
-from gleaner.llm.op3_wavelet import Wavelet, build, locate, shards
+from gleaner.llm import op3_wavelet as op3
+from gleaner.llm.op3_wavelet import Wavelet, build
 from gleaner.llm import op8_token_counts as op8
 from gleaner.llm.op8_token_counts import counted
 from gleaner.llm.op9_best_fit_packing import fullest, pack, packed, token_lengths
@@ -52,21 +53,45 @@ def test_wavelet_round_trip(high):
         assert w.rank(1 << 20) == 0
 
 
-def test_shards_hold_every_token(spark):
+def test_steps_open_few_blocks(monkeypatch):
+    monkeypatch.setattr(op3, "BLOCK", 1024)
+    ids = np.random.default_rng(5).zipf(1.3, 40_000).clip(0, 50_000).astype(np.int32)
+    file, asked = build(ids), []
+    w = Wavelet(lambda a, n: asked.append(n) or file[a : a + n])
+    asked.clear()
+    assert w.access(20_000) == ids[20_000] and len(asked) == w.bits
+    for i in range(0, 40_000, 371):
+        t = int(ids[i])
+        assert w.access(i) == t and w.rank(t, i) == (ids[:i] == t).sum() and w.select(t, w.rank(t, i)) == i
+    asked.clear()
+    w.rank(int(ids[5]), 30_000)
+    assert sum(asked) < len(file) / 10
+    with pytest.raises(ValueError):
+        Wavelet(b"something else")
+
+
+def test_shards_hold_every_token(spark, tmp_path):
     docs = odd_docs(spark, [(100 + i, t) for i, t in enumerate(texts(300))])
-    rows = shards(docs, shard=500).collect()
+    folder = f"file://{tmp_path}/shards"
+    listed = op3.write_shards(docs, folder, shard=500)
     got = []
-    for r in rows:
-        tokens = Wavelet(bytes(r.file)).decode()
-        assert r.n_tokens == len(tokens) == (r.ends[-1] if r.ends else 0)
-        got += [(d, tokens[a:z].tolist()) for d, (a, z) in zip(r.doc_ids, itertools.pairwise([0, *r.ends]), strict=True)]
+    for r in listed.collect():
+        file = (tmp_path / "shards" / r.shard).read_bytes()
+        w = Wavelet(file)
+        tokens, (ids, ends) = w.decode(), w.documents()
+        assert r.n_bytes == len(file) and r.n_tokens == len(tokens) == (ends[-1] if len(ends) else 0) and r.n_docs == len(ids)
+        got += [(d, tokens[a:z].tolist()) for d, (a, z) in zip(ids, itertools.pairwise([0, *ends.tolist()]), strict=True)]
     want = [(r.doc_id, encoding().encode_ordinary(r.text or "")) for r in docs.collect()]
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=key) == sorted(want, key=key)
     token = encoding().encode_ordinary(" the")[0]
-    found = locate(shards(docs, shard=500), token).collect()
-    assert len(found) == sum(t.count(token) for _, t in want)
-    assert shards(docs.limit(0)).count() == 0
+    found = sorted((str(r.doc_id), r.position) for r in op3.locate(listed, folder, token).collect())
+    assert found == sorted((str(d), i) for d, t in want for i, x in enumerate(t) if x == token)
+    assert sum(r.n for r in op3.count_token(listed, folder, token).collect()) == len(found)
+    rows = sorted(map(str, map(tuple, op3.first_tokens(listed, folder).collect())))
+    assert rows == sorted(str((d, len(t), t[0], t.count(t[0]), len(t) - 1 - t[::-1].index(t[0])) if t else (d, 0, None, 0, None)) for d, t in want)
+    none = op3.write_shards(docs.limit(0), folder)
+    assert none.count() == 0 and op3.first_tokens(none, folder).count() == 0
 
 
 @pytest.mark.parametrize("head", [1, 5, 10**6])
