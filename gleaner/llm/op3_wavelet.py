@@ -200,7 +200,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizers: str = TOKENIZERS, voc
             out.append((name, len(doc), len(tokens), max(1, int(tokens.max()).bit_length()) if len(tokens) else 1, len(file)))
             held, ids, lengths, n = [], [], [], 0
 
-        for part in sliced(batches, 2000):
+        for part in sliced(batches, 1000):
             found, count = coder.encode(part.column(1))
             doc, done, ends = part.column(0), 0, np.cumsum(count)
             while done < len(count):

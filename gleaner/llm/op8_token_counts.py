@@ -29,7 +29,7 @@ from gleaner.llm.bpe import PATTERN, TOKENIZERS, VOCABULARY, encoding, filled, m
 from gleaner.llm.common import materialize, sliced, table
 
 HEAD = 1 << 17
-PART = 4000
+PART = 2000
 CUT = regex.compile(PATTERN).findall
 
 

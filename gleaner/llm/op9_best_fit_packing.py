@@ -9,7 +9,8 @@ Only (doc_id, piece, length) is shuffled, never text. The number of groups follo
 work is bounded at any size.
 
 Defined results: NULL and empty texts have no tokens and are in no bin. Repeated rows are packed each for itself; a NULL doc_id
-is packed as NULL. Equal lengths are taken in order of doc_id and piece. An empty table gives no bins.
+is packed as NULL. A very long text becomes many pieces. Equal lengths are taken in order of doc_id and piece. An empty table gives no bins. Columns but
+doc_id and text, of whatever names, aren't read.
 """
 
 from __future__ import annotations
@@ -22,10 +23,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import TOKENIZERS, VOCABULARY, BatchEncoder
-from gleaner.llm.common import materialize, table
+from gleaner.llm.common import materialize, sliced, table
 
 CAPACITY = 2048
 GROUP = 8192
+PART = 1000
 
 
 def token_lengths(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
@@ -33,7 +35,7 @@ def token_lengths(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = V
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BatchEncoder(folder, vocabulary)
-        for b in batches:
+        for b in sliced(batches, PART):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(coder.lengths(b.column(1)), pa.int64())], ["doc_id", "n_tokens"])
 
     return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, n_tokens bigint")
