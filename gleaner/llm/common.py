@@ -121,11 +121,11 @@ def id_hash(c) -> Column:
     return F.xxhash64(c.cast("bigint"))
 
 
-def id_filter(ids: DataFrame, most: int = FILTER_BITS) -> IdFilter:
-    """Of a written table of one column of ids. Bits are put together by words in the cluster; the driver gets the words, 32 MB at most."""
+def id_filter(ids: DataFrame, most: int = FILTER_BITS, hashed: bool = False) -> IdFilter:
+    """Of a written table of one column of ids, or of hashes of 64 bits (`hashed`). Bits are put together by words in the cluster; the driver gets the words, 32 MB at most."""
     (name,) = ids.columns
     bits = IdFilter.size(ids.count(), most)
-    h = ids.select(id_hash(F.col(name)).alias("h")).select(F.col("h").bitwiseAND(0xFFFFFFFF).alias("l"), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1)).alias("u"))
+    h = ids.select((F.col(name) if hashed else id_hash(F.col(name))).alias("h")).select(F.col("h").bitwiseAND(0xFFFFFFFF).alias("l"), F.shiftrightunsigned("h", 32).bitwiseOR(F.lit(1)).alias("u"))
     at = h.select(F.explode(F.array(*((F.col("l") + k * F.col("u")).bitwiseAND(bits - 1) for k in range(FILTER_HASHES)))).alias("p"))
     found = at.groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("b")).toArrow()
     words = np.zeros(bits // 64, np.int64)

@@ -1,18 +1,20 @@
 """BPE encoding with reuse of content-defined chunks, and decoding.
 
 Texts are cut where a rolling hash of the last WINDOW bytes has MASK's bits zero, so that copied passages have
-the same chunks wherever they stand. Chunk hashes are counted over all documents; a chunk found in several places has one
-owner (the least), which alone encodes it. Other documents get its ids by a join on the hash and encode only the
-text between. Where two parts meet, ids may differ from those of the whole text; a window about the join is
+the same chunks wherever they stand. Chunk hashes are counted over all documents; a chunk found in several places is
+encoded once. Documents get its ids by a join on the hash and encode only the text between. Where two parts meet, ids may differ from those of the whole text; a window about the join is
 encoded again and grown until its outermost words agree with what is kept on either side. It ends at blanks between characters
 that aren't white space, where every encoding has a boundary, so that ids beyond it can't change. Every borrowed chunk is compared with the text by its bytes, so a hash collision is only a chunk
 encoded anew.
 
-Only hashes and places of chunks, the ids of shared chunks, and the texts (once, by document; both joins reuse the one
-exchange) are shuffled. Ids are kept as 16-bit integers in bytes.
+What is shuffled: hashes and places of chunks; the bytes of chunks that may be shared, once from each task that reads them; the ids of shared chunks; and the
+texts of documents that have a shared chunk, once. Filters of bounded size (see common.IdFilter) tell which chunks
+and documents have nothing to do with sharing: those documents are encoded where they are read. Ids are kept as 16-bit integers in
+bytes.
 
-Defined results: NULL and empty texts have no ids. NULL doc_ids are kept. Repeated rows give repeated results. Tied owners are
-settled by the place. An empty table gives an empty result.
+Defined results: NULL and empty texts have no ids. NULL doc_ids are kept. Very long texts are encoded whole. Repeated rows give repeated
+results. Of chunks with one hash and different bytes the least bytes are encoded once, the others where they stand. An empty table gives an empty result. Columns but
+doc_id and text, of whatever names, aren't read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.bpe import TOKENIZERS, VOCABULARY, BatchEncoder, encoding
-from gleaner.llm.common import materialize, table
+from gleaner.llm.common import id_filter, materialize, sliced, table
 
 WINDOW = 32
 #: A cut every 1024 bytes on average.
@@ -187,50 +189,74 @@ def unpack_ids(data: bytes) -> np.ndarray:
     return np.frombuffer(data, "<u2").astype(np.int32)
 
 
+def chunk_ids(docs: DataFrame, hot: DataFrame, folder: str, vocabulary: str) -> DataFrame:
+    """(h, ids) of the chunks whose hashes are in `hot`, a written table; a few others may be among them."""
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(hot, hashed=True))
+
+    def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in sliced(batches, PART):
+            h, parts = [], []
+            for text in b.column(0):
+                data = text.as_buffer().to_pybytes() if text.is_valid else b""
+                for a, z in chunks(data):
+                    h.append(xxhash.xxh3_64_intdigest(data[a:z]))
+                    parts.append((data, a, z))
+            hashes = np.array(h, np.uint64).view(np.int64)
+            keep = [i for i in np.flatnonzero(held.value.maybe(hashes)).tolist() if h[i] not in seen and not seen.add(h[i])]
+            yield pa.RecordBatch.from_arrays([pa.array(hashes[keep]), pa.array([d[a:z].decode() for d, a, z in map(parts.__getitem__, keep)], pa.string())], ["h", "chunk"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = BatchEncoder(folder, vocabulary)
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), _packed(coder, b.column(1))], ["h", "ids"])
+
+    once = docs.select("text").mapInArrow(cut_out, "h bigint, chunk string").groupBy("h").agg(F.min("chunk").alias("chunk"))
+    return once.mapInArrow(encode, "h bigint, ids binary")
+
+
+def _packed(coder: BatchEncoder, texts: pa.Array) -> pa.Array:
+    ids, n = coder.encode(texts)
+    ends = np.cumsum(n)
+    return pa.array([pack_ids(ids[z - k : z]) for k, z in zip(n, ends)], pa.binary())
+
+
 def encoded(docs: DataFrame, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> DataFrame:
     """doc_id, n_tokens and the ids (16-bit, little-endian) of every document."""
-    spark = docs.sparkSession
     if encoding(folder, vocabulary).max_token_value >= 1 << 16:
         raise ValueError("ids of this vocabulary don't fit in 16 bits")
-    found = places(docs)
+    found = materialize(places(docs), "places")
     place = F.struct("doc", "th", "start")
-    owners = found.groupBy("h").agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select("h", "o")
-    shared = materialize(found.join(owners, "h").select("h", "doc", "th", "start", "end", (place == F.col("o")).alias("own")).distinct(), "chunks")
-    text = keyed(docs)
-
-    def lists(df: DataFrame, what) -> DataFrame:
-        return df.groupBy("doc", "th").agg(F.array_sort(F.collect_list(what)).alias("l")).withColumnsRenamed({"doc": "d", "th": "t"})
-
-    def beside(df: DataFrame) -> DataFrame:
-        # the same exchange of texts in both joins
-        return text.join(df, (F.col("doc") == F.col("d")) & (F.col("th") == F.col("t")), "left").select("doc", "text", "l")
-
-    def encode_owned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    hot = found.groupBy("h").agg(F.min(place).alias("o"), F.max(place).alias("z")).where("o <> z").select("h")
+    hot = materialize(hot, "shared")  # a written table, as is the next, so that a chunk of many documents is split where it is joined
+    lent = materialize(chunk_ids(docs, hot, folder, vocabulary), "lent")
+    shared = found.join(hot, "h", "left_semi").select("h", "doc", "th", "start", "end").distinct()
+    part = F.struct("start", "end", "ids")
+    lists = shared.join(lent, "h").groupBy("doc", "th").agg(F.array_sort(F.collect_list(part)).alias("l"))
+    key = F.xxhash64("doc", "th").alias("key")
+    users = materialize(shared.select(key).distinct(), "users")
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(users, hashed=True))
+    text = keyed(docs).select(F.xxhash64("doc", "th").alias("k"), "doc", "th", "text")
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = BatchEncoder(folder, vocabulary)
+        for b in sliced(batches, PART):
+            b = b.filter(pa.array(~held.value.maybe(b.column(0).to_numpy())))
+            ids = _packed(coder, b.column(2))
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([len(x) // 2 for x in ids.to_pylist()], pa.int64()), ids], ["doc", "n_tokens", "ids"])
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            h, parts = [], []
-            for text, l in zip(b.column(1), b.column(2)):
-                if l.is_valid:
-                    data = text.as_buffer().to_pybytes()
-                    for x in l.as_py():
-                        h.append(x["h"])
-                        parts.append(data[x["start"] : x["end"]].decode())
-            ids, n = coder.encode(pa.array(parts, pa.string()))
-            ends = np.cumsum(n)
-            yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array([pack_ids(ids[z - k : z]) for k, z in zip(n, ends)], pa.binary())], ["h", "ids"])
-
-    owned = beside(lists(shared.where("own"), F.struct("start", "end", "h"))).where("l is not null").mapInArrow(encode_owned, "h bigint, ids binary")
-    # one chunk may be owned by repeated rows of one document
-    lent = materialize(owned.dropDuplicates(["h"]), "lent")
-    borrowed = lists(shared.where("not own").join(lent, "h"), F.struct("start", "end", "ids"))
+            yield b.filter(pa.array(held.value.maybe(b.column(0).to_numpy()))).select(["doc", "th", "text"])
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         joiner = Joiner(folder, vocabulary)
-        for b in batches:
-            for at in range(0, b.num_rows, PART):
-                yield _assemble(joiner, b.slice(at, PART))
+        for b in sliced(batches, PART):
+            yield _assemble(joiner, b)
 
-    out = beside(borrowed).mapInArrow(assemble, "doc bigint, n_tokens bigint, ids binary")
+    out = text.select("k", "doc", "text").mapInArrow(alone, "doc bigint, n_tokens bigint, ids binary")
+    met = text.mapInArrow(some, "doc bigint, th bigint, text string").join(lists, ["doc", "th"], "left").select("doc", "text", "l")
+    out = out.union(met.mapInArrow(assemble, "doc bigint, n_tokens bigint, ids binary"))
     return out.select(F.when(F.col("doc") != NO_ID, F.col("doc")).alias("doc_id"), "n_tokens", "ids")
 
 
