@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleaner.functions.html import parsed_page
-from gleaner.functions.urls import absolute, followable, joined, normalize_url, registrable_match
+from gleaner.functions.urls import absolute, followable, host_of, joined, normalize_url, registrable_match
+from gleaner.operators import pacing, robots
+from gleaner.operators.pacing import INTERVAL
 from gleaner.sources.shared import materialize
 
 
@@ -120,6 +122,31 @@ def fetch_outcome(status: Column) -> Column:
     return F.struct(failed.alias("failed"), (busy | F.coalesce(status.isin(408, 425), F.lit(False))).alias("retryable"), busy.alias("penalized"))
 
 
+def fetched(requests: DataFrame, rules: DataFrame, responses: DataFrame, interval: float = INTERVAL, most: int = 3) -> DataFrame:
+    """What becomes of each request (request_id, url, asked in seconds), by robots rules, pacing and the status, in this order.
+
+    responses: url, attempt (1, 2, …), status, html; a missing attempt is one without an answer. Columns: allowed, sent (NULL
+    where robots deny it), attempts, status, html, and error, a struct(reason, status, retryable), NULL for a page that came.
+    Tries go on until one succeeds, or to `most`, whatever the status.
+    """
+    asked = robots.allowed(requests, rules)
+    go = pacing.schedule(asked.where("allowed").withColumn("_host", host_of(F.col("url"))), "_host", "asked", interval, tie="request_id").drop("_host", "delay")
+    rows = go.unionByName(asked.where(~F.col("allowed")).withColumn("sent", F.lit(None).cast("double")))
+    tries = responses.where(F.col("attempt").between(1, most)).groupBy("url").agg(
+        F.min_by(F.struct("attempt", "status", "html"), F.when(~fetch_outcome(F.col("status"))["failed"], F.col("attempt"))).alias("_good"),
+        F.max_by(F.struct("attempt", "status", "html"), "attempt").alias("_last"),
+    )
+    rows = rows.join(tries, "url", "left")
+    one = F.when(F.col("allowed"), F.coalesce("_good", "_last"))
+    outcome = fetch_outcome(one["status"])
+    error = F.when(~F.col("allowed"), F.struct(F.lit("robots").alias("reason"), F.lit(None).cast("int").alias("status"), F.lit(False).alias("retryable")))
+    error = error.when(F.coalesce("_good", "_last").isNull(), F.struct(F.lit("no answer").alias("reason"), F.lit(None).cast("int").alias("status"), F.lit(True).alias("retryable")))
+    error = error.when(outcome["failed"], F.struct(F.lit("status").alias("reason"), one["status"].cast("int").alias("status"), outcome["retryable"].alias("retryable")))
+    attempts = F.when(~F.col("allowed"), 0).when(F.col("_good").isNotNull(), F.col("_good.attempt")).otherwise(most)
+    html = F.when(~outcome["failed"], one["html"])
+    return rows.select(*requests.columns, "allowed", "crawl_delay", "sent", attempts.cast("int").alias("attempts"), one["status"].alias("status"), html.alias("html"), error.alias("error"))
+
+
 def first_visible(visible: Column, priority: list[str]) -> Column:
     """The first of `priority` that the array `visible` has."""
     return F.get(F.filter(F.array(*map(F.lit, priority)), lambda p: F.array_contains(visible, p)), F.lit(0))

@@ -11,6 +11,21 @@ from gleaner.sources.shared import numbered
 QUEUE = """dedup_key string, source_site string, url string, listing_url string, hint_title string, state string, attempts int,
 last_error string, discovered_at string, updated_at string"""
 RUNS = "id bigint, kind string, source_site string, started_at string, finished_at string, ok boolean, stats string, error string"
+TAG, STORY_TAG = "id bigint, name string, kind string", "story_id bigint, tag_id bigint"
+#: A story by type of column; a mark says that NULL is refused.
+STORY_COLUMNS = {
+    "bigint": "id!",
+    "string": """dedup_key! source_url! source_site! source_site_name! body_text! body_with_attribution! attribution_block! content_hash! license_note!
+first_seen_at! updated_at! fetched_at! extra! title author_url author_name external_id canonical_url language published_at_raw published_at
+seo_slug target_funnel primary_niche recommended_affiliate source_description adapter_version""",
+    "array<string>": "flags! categories! tags! source_keywords! detected_commercial_links! detected_ad_placements!",
+    "int": "revision! char_count! word_count! paragraph_count! published_year http_status",
+    "boolean": "is_complete!",
+}
+STORIES = ", ".join(f"{c.rstrip('!')} {t}" for t, names in STORY_COLUMNS.items() for c in names.split())
+REQUIRED = [c[:-1] for names in STORY_COLUMNS.values() for c in names.split() if c.endswith("!")]
+UNIQUE = ("id", "dedup_key", "source_url")
+TABLES = {"stories": STORIES, "tag": TAG, "story_tag": STORY_TAG, "queue": QUEUE, "runs": RUNS}
 JSON_LISTS = "tags categories flags source_keywords detected_ad_placements detected_commercial_links".split()
 STATE = ("id", "first_seen_at", "updated_at", "revision")
 
@@ -154,3 +169,41 @@ def finish_runs(runs: DataFrame, ends: DataFrame, as_of: Column) -> DataFrame:
 
 def empty(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], schema)
+
+
+def open_store(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The tables of a store in a folder; those it lacks are made, empty."""
+    out = {}
+    for name, schema in TABLES.items():
+        at = f"{path.rstrip('/')}/{name}"
+        empty(spark, schema).write.mode("ignore").parquet(at)
+        out[name] = spark.read.schema(schema).parquet(at)
+    return out
+
+
+def as_stories(rows: DataFrame) -> DataFrame:
+    """All columns of a story, with what stands for those `rows` lacks: NULL, empty lists and texts, no counts, first revision."""
+    have = set(rows.columns)
+    rest = {"license_note": F.lit(""), "extra": F.lit("{}"), "is_complete": F.lit(False), "revision": F.lit(1), **{c: F.lit(0) for c in ("paragraph_count", "word_count", "char_count")}}
+    kinds = [(c.rstrip("!"), t) for t, names in STORY_COLUMNS.items() for c in names.split()]
+    empty_list = F.array().cast("array<string>")
+    value = lambda c, t: F.coalesce(F.col(c) if c in have else F.lit(None).cast(t), rest.get(c, empty_list if t == "array<string>" else F.lit(None).cast(t)))
+    return rows.select(*(value(c, t).cast(t).alias(c) for c, t in kinds))
+
+
+def violations(stories: DataFrame) -> DataFrame:
+    """(problem, n): NULLs in columns that refuse them, and values of unique columns that several rows have. One row a column at most."""
+    nulls = stories.agg(*(F.count_if(F.col(c).isNull()).alias(c) for c in REQUIRED))
+    nulls = nulls.select(F.explode(F.array(*(F.struct(F.lit(f"NULL {c}").alias("problem"), F.col(c).alias("n")) for c in REQUIRED))).alias("p")).select("p.*")
+    for c in UNIQUE:
+        twice = stories.where(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+        nulls = nulls.union(twice.agg(F.count(F.lit(1)).alias("n")).select(F.lit(f"repeated {c}"), "n"))
+    return nulls.where("n > 0")
+
+
+def write_stories(stories: DataFrame, path: str) -> None:
+    """Writes stories into a folder of their own, unless rows break the rules: then nothing is written."""
+    found = violations(stories).collect()
+    if found:
+        raise ValueError("; ".join(f"{r.problem}: {r.n}" for r in found))
+    stories.write.parquet(path)

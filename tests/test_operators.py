@@ -14,7 +14,7 @@ from gleaner.functions import dates, urls
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.operators import classify, discover, metrics, pacing, records, robots, store
-from gleaner.plans.pages import Site, probe
+from gleaner.plans.pages import records_of, site_links, Site, probe
 from gleaner.sources import io
 from gleaner.streaming import streams
 
@@ -376,3 +376,34 @@ def test_logs(tmp_path, capsys):
     said = json.loads(path.read_text().splitlines()[-1])
     assert (said["message"], said["site"], said["n"], said["level"]) == ("done", "s", 2, "INFO") and "gone" not in said and said["duration"] >= 0
     logs.setup("WARNING", as_json=False)
+
+
+def test_store_rules(spark, tmp_path):
+    path = str(tmp_path / "store")
+    tables = store.open_store(spark, path)
+    assert set(tables) == {"stories", "tag", "story_tag", "queue", "runs"} and len(tables["stories"].columns) == 41 and tables["stories"].count() == 0
+    assert store.open_store(spark, path)["queue"].columns == tables["queue"].columns
+    text = {c: "x" for c in "source_site source_site_name body_text body_with_attribution attribution_block content_hash first_seen_at updated_at fetched_at".split()}
+    rows = [{"id": i, "dedup_key": k, "source_url": u, **text} for i, k, u in ((1, "a", "u1"), (2, "b", "u2"), (3, "b", "u2"), (4, "d", None))]
+    df = store.as_stories(spark.createDataFrame(rows, "id bigint, dedup_key string, source_url string, " + ", ".join(f"{c} string" for c in text)))
+    assert df.columns == tables["stories"].columns and df.head().flags == [] and df.head().revision == 1
+    found = {r.problem: r.n for r in store.violations(df).collect()}
+    assert found == {"NULL source_url": 1, "repeated dedup_key": 1, "repeated source_url": 1}
+    with pytest.raises(ValueError, match="repeated dedup_key: 1"):
+        store.write_stories(df, f"{path}/new")
+    store.write_stories(df.where("id < 3"), f"{path}/new")
+    assert spark.read.parquet(f"{path}/new").count() == 2
+
+
+def test_sites_of_their_own(spark):
+    def parser(pages, site):
+        return pages.select(F.col("url").alias("source_url"), site.dedup_key(F.col("url")).alias("dedup_key"), site.external_id(F.col("url")).alias("external_id"), F.upper("html").alias("title"))
+
+    one = Site("one", "One", "https://one.org/", "one.org", r"/s/\d+$", (r"/list",), key_of=lambda u: F.md5(u), id_of=lambda u: F.regexp_extract(u, r"/s/(\d+)", 1), parser=parser)
+    two = Site("two", "Two", "https://two.org/", "two.org", "/story", normalize=lambda u: F.lower(u))
+    pages = spark.createDataFrame([("https://one.org/s/7", "<p>x</p>"), ("https://one.org/list/2", ""), ("https://TWO.org/STORY/1", "<title>T</title><p>long enough</p>"), ("https://three.org/s/1", "")], "url string, html string")
+    got = {r.source_site: r for r in records_of(pages, [one, two], F.lit("2024-01-01").cast("timestamp")).collect()}
+    assert got["one"].external_id == "7" and got["one"].title == "<P>X</P>" and len(got["one"].dedup_key) == 32
+    assert got["two"].dedup_key == "https://two.org/story/1" and got["two"].external_id is None and len(got) == 2
+    links = spark.createDataFrame([("https://one.org/list/2", '<a href="/s/1">a</a><a href="/list/3">b</a><a href="/x">c</a>')], "url string, html string")
+    assert [(r.url, r.is_story) for r in site_links(links, one).orderBy("pos").collect()] == [("https://one.org/s/1", True), ("https://one.org/list/3", False)]
