@@ -88,8 +88,7 @@ def normalize_terms(values: Column) -> Column:
     """Lower-case, squeezed, distinct, sorted; without stop terms and those over 80 characters. NULL gives no terms."""
 
     def one(v: Column) -> Column:
-        flat = strip(F.regexp_replace(v, f"[{SPACE}]+", " "))
-        return F.lower(F.regexp_replace(flat, r"^[ ,;|/]+|[ ,;|/]+$", ""))
+        return F.lower(F.btrim(F.regexp_replace(v, f"[{SPACE}]+", " "), F.lit(" ,;|/")))
 
     terms = F.transform(F.filter(values, lambda v: v.isNotNull() & (v != "")), one)
     good = F.filter(terms, lambda t: (t != "") & (F.length(t) <= 80) & ~t.isin(*STOP_TERMS))

@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from gleaner.functions.html import parsed_page
 from gleaner.functions.urls import absolute, followable, host_of, joined, normalize_url, registrable_match
 from gleaner.operators import pacing, robots
 from gleaner.operators.pacing import INTERVAL
-from gleaner.sources.shared import materialize
+from gleaner.sources.shared import fresh_path, materialize
+
+#: Folders that edges are written in, by a hash of their source.
+BUCKETS = 64
 
 
 def links(pages: DataFrame, base: str = "final_url") -> DataFrame:
@@ -48,27 +52,29 @@ def edges(pages: DataFrame, base_host: str, story: str, listings: Iterable[str])
 def discover(edge_rows: DataFrame, start_urls: list[str], max_pages: int = 100, max_depth: int = 3) -> DataFrame:
     """(url, listing_url, hint_title, depth): stories in the order a queue would find them, each once.
 
-    Level by level: the frontier is at most the budget, so it is broadcast when it meets the edges. Pages that are missing
-    from the corpus use budget and have no links. Only the frontier's size reaches the driver; every level is written
-    to the shared folder, so a lost executor costs one level.
+    Level by level: a frontier is at most what is left of the budget, so its URLs go through the driver and are broadcast when they
+    meet the edges. Edges are written once, in BUCKETS by a hash of their source: a level reads the buckets of its frontier only. Pages
+    that are missing from the corpus use budget and have no links. Every level is written to the shared folder, so a lost
+    executor costs one level.
     """
     spark = edge_rows.sparkSession
-    edge_rows = materialize(edge_rows, "edges")
+    path = fresh_path(spark, "edges")
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS)).cast("int")
+    edge_rows.withColumn("_b", bucket("src")).repartition("_b").write.partitionBy("_b").parquet(path)
+    edge_rows = spark.read.schema(StructType([*edge_rows.schema.fields, StructField("_b", IntegerType())])).parquet(path)
     raw = spark.createDataFrame([(i, u) for i, u in enumerate(start_urls)], "rank long, url string").select("rank", normalize_url(F.col("url")).alias("url"))
     frontier = raw.groupBy("url").agg(F.min("rank").alias("_o")).select("url", F.struct("_o", F.lit(0).alias("_p")).alias("_order"))
-    seen, stories, left = None, [], max_pages
+    seen, stories, left = [], [], max_pages
     for depth in range(max_depth + 1):
-        if seen is not None:
-            frontier = frontier.join(F.broadcast(seen), "url", "left_anti")
-        # at most `left` rows: one partition orders them
-        taken = frontier.orderBy("_order").limit(left).select("url", (F.row_number().over(Window.orderBy("_order")) + F.lit(depth * max_pages)).alias("rank"))
-        taken = materialize(taken, "frontier")
-        n = taken.count()
-        if not n:
+        if seen:
+            frontier = frontier.join(F.broadcast(spark.createDataFrame([(u,) for u in seen], "url string")), "url", "left_anti")
+        rows = frontier.orderBy("_order").limit(left).select("url", bucket("url").alias("b")).collect()
+        if not rows:
             break
-        left -= n
-        seen = taken.select("url") if seen is None else seen.unionByName(taken.select("url"))
-        out = edge_rows.join(F.broadcast(taken.select(F.col("url").alias("src"), "rank")), "src")
+        left -= len(rows)
+        seen += [r.url for r in rows]
+        taken = spark.createDataFrame([(r.url, depth * max_pages + i + 1) for i, r in enumerate(rows)], "src string, rank long")
+        out = edge_rows.where(F.col("_b").isin(sorted({r.b for r in rows}))).join(F.broadcast(taken), "src")
         out = out.select("url", "text", "is_story", F.col("src").alias("listing_url"), F.struct(F.col("rank").alias("_o"), F.col("pos").alias("_p")).alias("_order"))
         out = materialize(out, "level")
         stories.append(out.where("is_story").withColumn("depth", F.lit(depth)))
