@@ -13,8 +13,8 @@ these, level by level; if one is still so large at the deepest level, pairs of i
 the survival probability of a pair at the threshold down to LEVELS and the target recall.
 
 Surviving candidates are verified on whole texts: a filter of their ids keeps other texts from being shuffled;
-documents of one connected component of candidates meet in one task, each with its set once (a component of more than
-TOGETHER documents as pairs of blocks), and the exact Jaccard of every candidate pair decides. No cap is set on
+documents with a least partner in common meet in one task, each with its set once (more than TOGETHER of them
+as pairs of blocks), and the exact Jaccard of every candidate pair decides. No cap is set on
 partners or candidates.
 
 Result of the query: one row for each document, with class_id, the least doc_id of the group of documents that links
@@ -57,7 +57,7 @@ SLACK = 3.0
 PART = 1000
 #: Rows of a bucket that one task splits or compares; larger ones are split, and at last compared in blocks, by many tasks.
 LOCAL = 16_384
-#: Documents of a component of candidates that are verified together; larger components are verified by pairs of blocks.
+#: Documents that are verified together; more are verified by pairs of blocks.
 TOGETHER = 1024
 
 
@@ -319,22 +319,30 @@ def components(edges: DataFrame, tag: str) -> DataFrame:
         before = same
 
 
-def placed(home: DataFrame, pairs: DataFrame, together: int) -> DataFrame:
-    """(unit, a, b): each pair with the task that verifies it."""
-    large = home.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > together)
-    at = looked_up(home, materialize(large, "large"), ["root"], "v", "left")
-    at = at.select("v", "root", F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64("v"), F.ceil(F.col("m") / together))).otherwise(0).alias("block"))
-    at = materialize(at, "homes")
-    x = pairs.join(at.select(F.col("v").alias("a"), "root", F.col("block").alias("x")), "a").join(at.select(F.col("v").alias("b"), F.col("block").alias("y")), "b")
-    return x.select(F.xxhash64("root", F.least("x", "y"), F.greatest("x", "y")).alias("unit"), "a", "b")
+def placed(pairs: DataFrame, together: int) -> tuple[DataFrame, DataFrame]:
+    """(unit, a, b): each pair with the task that verifies it; and (unit, doc_id): the documents that a task needs. Written tables.
+
+    A pair goes to the least of a and its partners, which documents that are all alike have in common, so most are in one unit;
+    a unit of more than `together` documents becomes pairs of blocks.
+    """
+    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("root")), "roots")
+    at = materialize(pairs.join(least, "a").select("root", "a", "b"), "placed")
+    needs = materialize(at.select("root", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needs")
+    large = materialize(needs.groupBy("root").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > together), "large")
+    if large.isEmpty():
+        return at.withColumnRenamed("root", "unit"), needs.withColumnRenamed("root", "unit")
+    block = lambda c: F.when(F.col("m").isNotNull(), F.pmod(F.xxhash64(c), F.ceil(F.col("m") / together))).otherwise(0)
+    at = looked_up(at, large, ["root"], "b", "left").select(F.xxhash64("root", F.least(block("a"), block("b")), F.greatest(block("a"), block("b"))).alias("unit"), "a", "b")
+    at = materialize(at, "units")
+    return at, materialize(at.select("unit", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needs")
 
 
 def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
     """The candidates (a written table) whose sets' exact Jaccard is at or over the threshold."""
-    home = materialize(components(pairs, "component"), "home")
-    units = materialize(placed(home, pairs, together), "units")
-    needs = units.select("unit", F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    held = docs.sparkSession.sparkContext.broadcast(id_filter(home.select("v")))
+    units, needs = placed(pairs, together)
+    wanted = materialize(needs.select("doc_id").distinct(), "wanted")
+    held = docs.sparkSession.sparkContext.broadcast(id_filter(wanted))
     clean = docs.select(F.col("doc_id").cast("bigint"), "text").where("doc_id is not null and text is not null and text <> ''")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
