@@ -14,8 +14,8 @@ from gleaner.functions import dates, urls
 from gleaner.functions import html as H
 from gleaner.functions import text as T
 from gleaner.operators import classify, discover, metrics, pacing, records, robots, store
-from gleaner.plans.pages import records_of, site_links, Site, probe
-from gleaner.sources import io
+from gleaner.plans.pages import Site, probe, records_of, site_links
+from gleaner.sources import io, shared
 from gleaner.streaming import streams
 
 
@@ -407,3 +407,17 @@ def test_sites_of_their_own(spark):
     assert got["two"].dedup_key == "https://two.org/story/1" and got["two"].external_id is None and len(got) == 2
     links = spark.createDataFrame([("https://one.org/list/2", '<a href="/s/1">a</a><a href="/list/3">b</a><a href="/x">c</a>')], "url string, html string")
     assert [(r.url, r.is_story) for r in site_links(links, one).orderBy("pos").collect()] == [("https://one.org/s/1", True), ("https://one.org/list/3", False)]
+
+
+def test_shared_folder_is_no_machines_own():
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda name, default: None)
+
+        class sparkContext:  # noqa: N801
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_dir(Session)
+    Session.sparkContext.master = "local[4]"
+    assert shared.shared_dir(Session).startswith("file:")
