@@ -196,8 +196,9 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
         large = materialize(_often(found).groupBy("node").agg(F.sum("m").alias("m")).where(F.col("m") > local), "large")
         none = large.isEmpty()
         here = found if none else looked_up(found, large.select("node"), ["node"], "doc_id", "left_anti")
-        shared = here.withColumn("m", F.count(F.lit(1)).over(Window.partitionBy("node"))).where("m > 1")
-        ready.append(shared.select("node", "doc_id", F.lit(level).alias("level")))
+        own = Window.partitionBy("node")
+        shared = here.withColumns({"m": F.count(F.lit(1)).over(own), "anchor": F.min("doc_id").over(own)}).where("m > 1")
+        ready.append(shared.select("anchor", "node", "doc_id", F.lit(level).alias("level")))
         if none:
             break
         held = looked_up(found, large, ["node"], "doc_id")
@@ -205,10 +206,13 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
             # pairs of blocks; a document goes to each that its block is in
             blocks = held.withColumn("n", F.ceil(F.col("m") / local)).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
             each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-            ready.append(each.select(F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other")).alias("node"), "doc_id", F.lit(levels).alias("level")))
+            unit = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
+            ready.append(each.select(unit.alias("anchor"), unit.alias("node"), "doc_id", F.lit(levels).alias("level")))
             break
         found, level = materialize(_below(held.join(sketch, "doc_id").select("node", "doc_id", "sketch"), threshold), "nodes"), level + 1
-    met = reduce(DataFrame.union, ready).join(sketch, "doc_id").select("node", "doc_id", "sketch", "level")
+    # nodes go where their least document's others are: there a pair that several runs found is told once, and a sketch is sent once
+    lists = reduce(DataFrame.union, ready).repartition("doc_id").groupBy("doc_id", "anchor").agg(F.collect_list("node").alias("nodes"), F.collect_list("level").alias("levels"))
+    met = lists.join(sketch, "doc_id").select("anchor", "doc_id", "sketch", "nodes", "levels")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n_held = [], 0
@@ -218,10 +222,14 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
             return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
         for t in _groups(batches):
-            node = t.column("node").to_numpy().view(np.uint64)
-            docs = t.column("doc_id").to_numpy()
-            depth = t.column("level").to_numpy()
-            sketch = _matrix(t.column("sketch").combine_chunks())
+            lists = t.column("nodes").combine_chunks()
+            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+            node = lists.flatten().to_numpy().view(np.uint64)
+            order = np.argsort(node, kind="stable")
+            node, row = node[order], row[order]
+            docs = t.column("doc_id").to_numpy()[row]
+            depth = t.column("levels").combine_chunks().flatten().to_numpy()[order]
+            sketch = _matrix(t.column("sketch").combine_chunks())[row]
             cut = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
             size = np.diff(cut)
             pairs = []
@@ -246,7 +254,7 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
         if held:
             yield out()
 
-    return met.repartition("node").sortWithinPartitions("node", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+    return met.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
 def _often(found: DataFrame) -> DataFrame:
