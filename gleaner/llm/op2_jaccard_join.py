@@ -9,8 +9,9 @@ document) only. Nodes of one document end there; the others get their sketches a
 task that holds them, until a bucket is small, LEVELS is reached or the bucket is dense (its mean similarity is
 over the threshold, so that splitting can't help); then all its pairs are compared by sketch, in tiles. A bucket of
 more than LOCAL documents is never brought together: its documents find their children row by row and are shuffled by
-these, level by level; if one is still so large at the deepest level, pairs of its blocks are the tasks. RUNS follows from
-the survival probability of a pair at the threshold down to LEVELS and the target recall.
+these, level by level. The buckets of one least document are told in one task; if they hold more than TOGETHER documents, pairs of
+blocks of these are the tasks, and where buckets repeat one another all pairs of a block are compared once, so a task's
+memory does not grow with its group. RUNS follows from the survival probability of a pair at the threshold down to LEVELS and the target recall.
 
 Surviving candidates are verified on whole texts: a filter of their ids keeps other texts from being shuffled;
 documents with a least partner in common meet in one task, each with its set once (more than TOGETHER of them
@@ -55,10 +56,12 @@ RECALL = 0.97
 #: Standard errors of the sketch's estimate that a candidate may lie under the threshold.
 SLACK = 3.0
 PART = 1000
-#: Rows of a bucket that one task splits or compares; larger ones are split, and at last compared in blocks, by many tasks.
+#: Rows of a bucket that one task may split further; larger ones are split by many tasks.
 LOCAL = 16_384
-#: Documents that are verified together; more are verified by pairs of blocks.
+#: Documents that are compared or verified together; more are so by pairs of blocks.
 TOGETHER = 1024
+#: Nodes that are counted at a time.
+OFTEN = 1 << 20
 
 
 def least_matches(threshold: float) -> int:
@@ -148,19 +151,24 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def compare(sketch: np.ndarray, least: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs of rows with so many equal coordinates, tile by tile."""
-    left, right = [], []
-    for a in range(0, len(sketch), tile):
-        for b in range(a, len(sketch), tile):
-            x, y = sketch[a : a + tile], sketch[b : b + tile]
+def compared(sketch: np.ndarray, rows: np.ndarray, least: int, side: np.ndarray | None = None, tile: int = 512) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of `rows` with so many equal coordinates, a tile at a time; where sides are given, only those of a row of either side."""
+    left, right = (rows, rows) if side is None else (rows[side[rows] == 0], rows[side[rows] == 1])
+    for a in range(0, len(left), tile):
+        for b in range(a if side is None else 0, len(right), tile):
+            x, y = sketch[left[a : a + tile]], sketch[right[b : b + tile]]
             same = np.zeros((len(x), len(y)), np.uint8)
             for c in range(sketch.shape[1]):
                 same += x[:, c, None] == y[None, :, c]
             i, j = np.nonzero(same >= least)
-            keep = i + a < j + b
-            left.append(i[keep] + a)
-            right.append(j[keep] + b)
+            if side is None:
+                i, j = (k[i + a < j + b] for k in (i, j))
+            yield left[i + a], right[j + b]
+
+
+def compare(sketch: np.ndarray, least: int, tile: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of rows with so many equal coordinates."""
+    left, right = zip(*compared(sketch, np.arange(len(sketch)), least, tile=tile))
     return np.concatenate(left), np.concatenate(right)
 
 
@@ -171,14 +179,20 @@ def density(sketch: np.ndarray) -> float:
     return same / (sketch.shape[1] * m * (m - 1))
 
 
-def split(node: np.uint64, sketch: np.ndarray, level: int, threshold: float, small: int, levels: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def whole(sketch: np.ndarray, depth: int, threshold: float, small: int, levels: int) -> bool:
+    """Whether a bucket is compared as it is."""
+    return len(sketch) <= small or depth >= levels or density(sketch) >= threshold
+
+
+def split(
+    node: np.uint64, sketch: np.ndarray, level: int, threshold: float, small: int, levels: int, least: int, side: np.ndarray | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Pairs of rows of a bucket, recursively."""
     todo = [(node, np.arange(len(sketch)), level)]
     while todo:
         at, rows, depth = todo.pop()
-        if len(rows) <= small or depth >= levels or density(sketch[rows]) >= threshold:
-            i, j = compare(sketch[rows], least)
-            yield rows[i], rows[j]
+        if whole(sketch[rows], depth, threshold, small, levels):
+            yield from compared(sketch, rows, least, side)
             continue
         took, below = children(np.full(len(rows), at), sketch[rows], threshold)
         order = np.argsort(below, kind="stable")
@@ -187,9 +201,10 @@ def split(node: np.uint64, sketch: np.ndarray, level: int, threshold: float, sma
         todo += [(below[a], rows[took[a:z]], depth + 1) for a, z in zip(cuts, cuts[1:]) if z - a > 1]
 
 
-def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START, levels: int = LEVELS, small: int = SMALL, runs: int = RUNS, local: int = LOCAL) -> DataFrame:
+def candidates(
+    reps: DataFrame, threshold: float = THRESHOLD, start: int = START, levels: int = LEVELS, small: int = SMALL, runs: int = RUNS, local: int = LOCAL, together: int = TOGETHER
+) -> DataFrame:
     """Pairs a < b of representatives that share a bucket and whose sketches agree enough."""
-    least = least_matches(threshold)
     sketch = reps.select("doc_id", "sketch")
     found, level, ready = materialize(nodes(reps, threshold, start, runs), "nodes"), start, []
     while True:
@@ -201,70 +216,139 @@ def candidates(reps: DataFrame, threshold: float = THRESHOLD, start: int = START
         ready.append(shared.select("anchor", "node", "doc_id", F.lit(level).alias("level")))
         if none:
             break
-        held = looked_up(found, large, ["node"], "doc_id")
+        held = looked_up(found, large.select("node"), ["node"], "doc_id")
         if level >= levels:
-            # pairs of blocks; a document goes to each that its block is in
-            blocks = held.withColumn("n", F.ceil(F.col("m") / local)).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
-            each = blocks.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
-            unit = F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            ready.append(each.select(unit.alias("anchor"), unit.alias("node"), "doc_id", F.lit(levels).alias("level")))
+            first = materialize(held.groupBy("node").agg(F.min("doc_id").alias("anchor")), "anchors")
+            ready.append(looked_up(held, first, ["node"], "doc_id").select("anchor", "node", "doc_id", F.lit(levels).alias("level")))
             break
         found, level = materialize(_below(held.join(sketch, "doc_id").select("node", "doc_id", "sketch"), threshold), "nodes"), level + 1
     # nodes go where their least document's others are: there a pair that several runs found is told once, and a sketch is sent once
     lists = reduce(DataFrame.union, ready).repartition("doc_id").groupBy("doc_id", "anchor").agg(F.collect_list("node").alias("nodes"), F.collect_list("level").alias("levels"))
-    met = lists.join(sketch, "doc_id").select("anchor", "doc_id", "sketch", "nodes", "levels")
+    met = _blocks(materialize(lists, "lists"), together).join(sketch, "doc_id").select("unit", "doc_id", "sketch", "nodes", "levels", "side")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n_held = [], 0
-
-        def out() -> pa.RecordBatch:
-            p = np.unique(np.concatenate(held), axis=0)
-            return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
-
-        for t in _groups(batches):
-            lists = t.column("nodes").combine_chunks()
-            row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
-            node = lists.flatten().to_numpy().view(np.uint64)
-            order = np.argsort(node, kind="stable")
-            node, row = node[order], row[order]
-            docs = t.column("doc_id").to_numpy()[row]
-            depth = t.column("levels").combine_chunks().flatten().to_numpy()[order]
-            sketch = _matrix(t.column("sketch").combine_chunks())[row]
-            cut = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
-            size = np.diff(cut)
-            pairs = []
-            for m in np.unique(size[(size > 1) & (size <= small)]):
-                first = cut[:-1][size == m]
-                i, j = np.triu_indices(m, 1)
-                for a in range(0, len(first), max(1, 200_000 // len(i))):
-                    f = first[a : a + max(1, 200_000 // len(i)), None]
-                    x, y = (f + i).ravel(), (f + j).ravel()
-                    good = (sketch[x] == sketch[y]).sum(1) >= least
-                    pairs.append(np.stack([docs[x[good]], docs[y[good]]], 1))
-            for k in np.flatnonzero(size > small):
-                a, z = cut[k], cut[k + 1]
-                for i, j in split(node[a], sketch[a:z], int(depth[a]), threshold, small, levels, least):
-                    pairs.append(np.stack([docs[a:z][i], docs[a:z][j]], 1))
-            if pairs:
-                held.append(np.unique(np.sort(np.concatenate(pairs), 1), axis=0))
-                n_held += len(held[-1])
-            if n_held > 1 << 20:
-                yield out()
-                held, n_held = [], 0
-        if held:
-            yield out()
-
-    return met.repartition("anchor").sortWithinPartitions("anchor", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+        told = Told()
+        for t in _groups(sliced(batches, PART)):
+            for a, b in _met(t, threshold, small, levels, least_matches(threshold)):
+                yield from told.add(a, b)
+        yield from told.rest()
+
+    return met.repartition("unit").sortWithinPartitions("unit", "doc_id").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _blocks(lists: DataFrame, together: int) -> DataFrame:
+    """The documents of each anchor (a written table) with the task, `unit`, that tells their pairs.
+
+    More than `together` documents are blocks: each goes to the units of its block with itself and with each other one. There `side` says
+    which of the two blocks it is of, and only pairs of both are told; elsewhere it is NULL.
+    """
+    large = materialize(lists.groupBy("anchor").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > together), "crowds")
+    alone = (F.xxhash64("anchor").alias("unit"), "doc_id", "nodes", "levels", F.lit(None).cast("int").alias("side"))
+    if large.isEmpty():
+        return lists.select(*alone)
+    n = F.ceil(F.coalesce("m", F.lit(1)) / together)
+    own = looked_up(lists, large, ["anchor"], "doc_id", "left").withColumn("n", n).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("n")))
+    each = own.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1)))
+    unit = F.when(F.col("n") == 1, F.xxhash64("anchor")).otherwise(F.xxhash64("anchor", F.least("own", "other"), F.greatest("own", "other")))
+    side = F.when(F.col("own") != F.col("other"), (F.col("own") > F.col("other")).cast("int"))
+    return each.select(unit.alias("unit"), "doc_id", "nodes", "levels", side.alias("side"))
+
+
+class Told:
+    """Pairs (a, b) as batches, with a bounded number held to leave out those told before."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most, self.held, self.n = most, [], 0
+
+    def add(self, a: np.ndarray, b: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(a):
+            self.held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            self.n += len(a)
+        if self.n > self.most:
+            p = self._once()
+            # what is mostly repeated is held on
+            if p.shape[1] > self.most // 2:
+                yield from self.rest()
+            else:
+                self.held, self.n = [p], p.shape[1]
+
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            p = self._once()
+            self.held, self.n = [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(p[0]), pa.array(p[1])], ["a", "b"])
+
+    def _once(self) -> np.ndarray:
+        p = np.concatenate(self.held, 1)
+        self.held = [p]
+        p = p[:, np.lexsort(p[::-1])]
+        return p[:, np.concatenate([[True], (p[:, 1:] != p[:, :-1]).any(0)])]
+
+
+def _met(t: pa.Table, threshold: float, small: int, levels: int, least: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of documents of whole units that share a bucket and whose sketches agree enough; some more than once.
+
+    Where the buckets of a unit that are compared as they are have more pairs than the unit has, all pairs of the unit are compared, once.
+    """
+    unit, docs = (t.column(c).to_numpy() for c in ("unit", "doc_id"))
+    sketch = _matrix(t.column("sketch").combine_chunks())
+    side = t.column("side").combine_chunks().fill_null(2).to_numpy(zero_copy_only=False)
+    lists = t.column("nodes").combine_chunks()
+    row = np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    node = lists.flatten().to_numpy().view(np.uint64)
+    depth = t.column("levels").combine_chunks().flatten().to_numpy()
+    # a node may be in several units
+    place = np.cumsum(np.concatenate([[0], unit[1:] != unit[:-1]]))
+    order = np.lexsort((node, place[row]))
+    node, row, depth = node[order], row[order], depth[order]
+    at = place[row]
+    cut = np.concatenate([[0], np.flatnonzero((node[1:] != node[:-1]) | (at[1:] != at[:-1])) + 1, [len(node)]])
+    size, of = np.diff(cut), at[cut[:-1]]
+    firsts, members = np.unique(place, return_index=True)[1], np.bincount(place)
+    done = np.zeros(len(members), bool)
+    for u in np.flatnonzero(members > small):
+        own = np.flatnonzero((of == u) & (size > 1))
+        as_is = sum(size[k] * (size[k] - 1) // 2 for k in own if whole(sketch[row[cut[k] : cut[k + 1]]], int(depth[cut[k]]), threshold, small, levels))
+        if as_is >= members[u] * (members[u] - 1) // 2:
+            done[u] = True
+            rows = np.arange(firsts[u], firsts[u] + members[u])
+            for i, j in compared(sketch, rows, least, side if side[rows[0]] < 2 else None):
+                yield docs[i], docs[j]
+    left = ~done[of]
+    for m in np.unique(size[(size > 1) & (size <= small) & left]):
+        first = cut[:-1][(size == m) & left]
+        i, j = np.triu_indices(m, 1)
+        step = max(1, 200_000 // len(i))
+        for a in range(0, len(first), step):
+            f = first[a : a + step, None]
+            x, y = row[(f + i).ravel()], row[(f + j).ravel()]
+            if (apart := (side[x] == 2) | (side[x] != side[y])).sum() < len(x):
+                x, y = x[apart], y[apart]
+            good = (sketch[x] == sketch[y]).sum(1) >= least
+            yield docs[x[good]], docs[y[good]]
+    for k in np.flatnonzero((size > small) & left):
+        rows = row[cut[k] : cut[k + 1]]
+        for i, j in split(node[cut[k]], sketch[rows], int(depth[cut[k]]), threshold, small, levels, least, side[rows] if side[rows[0]] < 2 else None):
+            yield docs[rows[i]], docs[rows[j]]
 
 
 def _often(found: DataFrame) -> DataFrame:
-    """Counts of nodes, task by task, without those that a task has once: what is left out of a node's count is a document a task."""
+    """Counts of nodes, OFTEN rows at a time, without those that are there once: what is left out of a node's count is a document of so many rows."""
+
+    def counted(nodes: list[np.ndarray]) -> pa.RecordBatch:
+        node, m = np.unique(np.concatenate(nodes), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(node[m > 1]), pa.array(m[m > 1])], ["node", "m"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        all_nodes = [b.column(0).to_numpy() for b in batches]
-        if all_nodes:
-            node, m = np.unique(np.concatenate(all_nodes), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(node[m > 1]), pa.array(m[m > 1])], ["node", "m"])
+        held, n = [], 0
+        for b in batches:
+            held.append(b.column(0).to_numpy().copy())
+            n += b.num_rows
+            if n >= OFTEN:
+                yield counted(held)
+                held, n = [], 0
+        if n:
+            yield counted(held)
 
     return found.select("node").mapInArrow(run, "node bigint, m bigint")
 
@@ -420,7 +504,7 @@ def graph(docs: DataFrame, n: int = N, threshold: float = THRESHOLD, runs: int =
         stand = one.select("rep").union(many.select("doc_id")).distinct().withColumnRenamed("rep", "doc_id")
         with scratch():
             reps = materialize(drawn.join(stand, "doc_id").dropDuplicates(["doc_id", "set_key"]).select("doc_id", "sketch"), "reps")
-            pairs = lasting(materialize(candidates(reps, threshold, small=small, runs=runs, local=local).where("a < b"), "candidates"))
+            pairs = lasting(materialize(candidates(reps, threshold, small=small, runs=runs, local=local, together=together).where("a < b"), "candidates"))
         with scratch():
             found = lasting(materialize(verified(docs, pairs, n, threshold, together), "verified"))
         if not many.isEmpty():  # only documents of several sets can be in a pair twice

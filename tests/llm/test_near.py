@@ -1,7 +1,9 @@
 import random
 import re
+import threading
 
 import numpy as np
+import psutil
 import pytest
 
 import corpus_pipeline
@@ -217,3 +219,32 @@ def test_pipeline_against_its_parts(spark, rows, tmp_path):
     # the repeated, very long texts fail a rule; the rest of each group's first documents are there
     kept = {r.doc_id for r in op2.stage(spark, spark.createDataFrame([r for r in rows if r[0] not in (1000, 1001, 1006, 1007)], SCHEMA), "").collect()}
     assert set(got) == kept
+
+
+def test_memory_of_a_large_group_of_near_copies(spark):
+    # every pair shares some fifty buckets, all of one least document
+    r = np.random.default_rng(4)
+    sketch = np.repeat(r.integers(0, 256, (1, op2.WIDTH)), 2000, 0).astype(np.uint8)
+    change = r.random(sketch.shape) < 0.06
+    sketch[change] = r.integers(0, 256, int(change.sum()))
+    reps = spark.createDataFrame([(i, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "doc_id bigint, sketch binary")
+    most, over = [0], threading.Event()
+
+    def watch():
+        while not over.wait(0.02):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark.daemon" in p.cmdline():
+                        most.append(p.memory_info().rss / 2**20)
+                except psutil.Error:
+                    pass
+
+    (t := threading.Thread(target=watch)).start()
+    try:
+        got = {(r.a, r.b) for r in op2.candidates(reps).collect()}
+    finally:
+        over.set()
+        t.join()
+    i, j = op2.compare(sketch, op2.least_matches(op2.THRESHOLD))
+    assert got == set(zip(i.tolist(), j.tolist())) and len(got) > 1_000_000
+    assert 0 < max(most) < 600, max(most)
