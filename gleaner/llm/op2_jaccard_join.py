@@ -15,7 +15,7 @@ memory does not grow with its group. RUNS follows from the survival probability
 
 Surviving candidates are verified on whole texts: a filter of their ids keeps other texts from being shuffled;
 documents with a least partner in common meet in one task, each with its set once (more than TOGETHER of them
-as pairs of blocks), and the exact Jaccard of every candidate pair decides. No cap is set on
+as pairs of blocks; the pairs of a large group by rows of bits), and the exact Jaccard of every candidate pair decides. No cap is set on
 partners or candidates.
 
 Result of the query: one row for each document, with class_id, the least doc_id of the group of documents that links
@@ -60,6 +60,9 @@ PART = 1000
 LOCAL = 16_384
 #: Documents that are compared or verified together; more are so by pairs of blocks.
 TOGETHER = 1024
+#: Pairs of a task from which they are verified by bits, and that wait for it at most.
+MANY = 64
+WAIT = 1 << 18
 #: Nodes that are counted at a time.
 OFTEN = 1 << 20
 
@@ -430,6 +433,51 @@ def placed(pairs: DataFrame, together: int) -> tuple[DataFrame, DataFrame]:
     return at, materialize(at.select("unit", F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "needs")
 
 
+def overlaps(sets: list[np.ndarray], x: np.ndarray, y: np.ndarray, at_once: int = 1 << 19, columns: int = 4096, pairs: int = 1 << 13) -> np.ndarray:
+    """Common members of sets[x] and sets[y], sorted sets of 32 bits, x and y differing: rows of bits, a range of members at a time."""
+    common = np.zeros(len(x), np.int64)
+    parts = sum(map(len, sets)) // at_once + 1
+    bounds = np.linspace(0, 1 << 32, parts + 1).astype(np.uint64)
+    cuts = np.array([np.searchsorted(s, bounds) for s in sets])
+    for k in range(parts):
+        own = np.repeat(np.arange(len(sets)), cuts[:, k + 1] - cuts[:, k])
+        member, column, n = np.unique(np.concatenate([s[c[k] : c[k + 1]] for s, c in zip(sets, cuts)]), return_inverse=True, return_counts=True)
+        # what one set alone has is common to none
+        several = n > 1
+        keep = several[column]
+        own, column = own[keep], (np.cumsum(several) - 1)[column[keep]]
+        for first in range(0, int(several.sum()), columns):
+            here = (column >= first) & (column < first + columns)
+            has = np.zeros((len(sets), columns), bool)
+            has[own[here], column[here] - first] = True
+            bits = np.packbits(has, axis=1).view(np.uint64)
+            for at in range(0, len(x), pairs):
+                common[at : at + pairs] += np.bitwise_count(bits[x[at : at + pairs]] & bits[y[at : at + pairs]]).sum(1, dtype=np.int64)
+    return common
+
+
+def similarities(held: dict[int, list[np.ndarray]], a: np.ndarray, b: np.ndarray, many: int = MANY) -> np.ndarray:
+    """Exact Jaccard of pairs of documents by their sorted sets; of several sets of a document the best counts."""
+    out = np.zeros(len(a))
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    sets = [held[i] for i in ids.tolist()]
+    single = np.array([len(s) == 1 for s in sets])
+    fast = np.flatnonzero(single[x] & single[y]) if len(a) >= many else np.zeros(0, np.int64)
+    if len(fast):
+        size = np.array([len(s[0]) for s in sets])
+        common = overlaps([s[0] for s in sets], x[fast], y[fast])
+        out[fast] = common / (size[x[fast]] + size[y[fast]] - common)
+    for k in np.setdiff1d(np.arange(len(a)), fast).tolist():
+        for s in sets[x[k]]:
+            for l in sets[y[k]]:
+                s_, l_ = (s, l) if len(s) <= len(l) else (l, s)
+                found = np.minimum(np.searchsorted(l_, s_), len(l_) - 1)
+                common = int((l_[found] == s_).sum())
+                out[k] = max(out[k], common / (len(s_) + len(l_) - common))
+    return out
+
+
 def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = THRESHOLD, together: int = TOGETHER) -> DataFrame:
     """The candidates (a written table) whose sets' exact Jaccard is at or over the threshold."""
     units, needs = placed(pairs, together)
@@ -452,31 +500,34 @@ def verified(docs: DataFrame, pairs: DataFrame, n: int = N, threshold: float = T
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[np.ndarray]] = {}
-        unit = None
-        for b in batches:
-            units, kinds, left, right = (b.column(i).to_numpy(zero_copy_only=False) for i in range(4))
-            grams = b.column(4)
-            out_a, out_b, out_j = [], [], []
-            for i in range(b.num_rows):
-                if units[i] != unit:
-                    held, unit = {}, units[i]
-                if kinds[i] == 0:
-                    held.setdefault(int(left[i]), []).append(np.frombuffer(grams[i].as_py(), np.uint32))
+        unit, wait, n_wait = None, [], 0
+
+        def told() -> pa.RecordBatch:
+            a, b = np.concatenate(wait, 1)
+            j = similarities(held, a, b)
+            good = j >= threshold
+            return pa.RecordBatch.from_arrays([pa.array(a[good]), pa.array(b[good]), pa.array(j[good])], ["doc_a", "doc_b", "jaccard"])
+
+        for batch in batches:
+            units, kinds = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cut = np.flatnonzero((units[1:] != units[:-1]) | (kinds[1:] != kinds[:-1])) + 1
+            for at, end in zip([0, *cut.tolist()], [*cut.tolist(), len(units)]):
+                if at == end:
                     continue
-                best = 0.0
-                for x in held[int(left[i])]:
-                    for y in held[int(right[i])]:
-                        if min(len(x), len(y)) < threshold * max(len(x), len(y)):
-                            continue
-                        s, l = (x, y) if len(x) <= len(y) else (y, x)
-                        at = np.minimum(np.searchsorted(l, s), len(l) - 1)
-                        common = int((l[at] == s).sum())
-                        best = max(best, common / (len(x) + len(y) - common))
-                if best >= threshold:
-                    out_a.append(int(left[i]))
-                    out_b.append(int(right[i]))
-                    out_j.append(best)
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64()), pa.array(out_j, pa.float64())], ["doc_a", "doc_b", "jaccard"])
+                if wait and (units[at] != unit or n_wait >= WAIT):
+                    yield told()
+                    wait, n_wait = [], 0
+                if units[at] != unit:
+                    held, unit = {}, units[at]
+                b = batch.slice(at, end - at)
+                if kinds[at] == 0:
+                    for d, g in zip(b.column(2).to_pylist(), b.column(4)):
+                        held.setdefault(d, []).append(np.frombuffer(g.as_py(), np.uint32))
+                else:
+                    wait.append(np.stack([b.column(2).to_numpy(), b.column(3).to_numpy(zero_copy_only=False)]))
+                    n_wait += end - at
+        if wait:
+            yield told()
 
     return rows.repartition("unit").sortWithinPartitions("unit", "kind").mapInArrow(check, "doc_a bigint, doc_b bigint, jaccard double")
 

@@ -248,3 +248,37 @@ def test_memory_of_a_large_group_of_near_copies(spark):
     i, j = op2.compare(sketch, op2.least_matches(op2.THRESHOLD))
     assert got == set(zip(i.tolist(), j.tolist())) and len(got) > 1_000_000
     assert 0 < max(most) < 600, max(most)
+
+
+def test_similarities_by_bits_are_exact():
+    r = np.random.default_rng(6)
+    base = r.integers(0, 1 << 32, 300, dtype=np.uint32)
+    draw = lambda k: np.unique(np.concatenate([r.choice(base, k), r.integers(0, 1 << 32, 20, dtype=np.uint32), np.array([0, 2**32 - 1], np.uint32)]))
+    held = {10 * i: [draw(int(r.integers(1, 400))) for _ in range(1 + (i % 17 == 0))] for i in range(120)}
+    a = 10 * r.integers(0, 120, 3000)
+    b = (a + 10 * r.integers(1, 120, 3000)) % 1200
+    sets = {i: [frozenset(x.tolist()) for x in s] for i, s in held.items()}
+    want = [max(len(x & y) / len(x | y) for x in sets[i] for y in sets[j]) for i, j in zip(a.tolist(), b.tolist())]
+    assert op2.similarities(held, a, b).tolist() == op2.similarities(held, a, b, many=10**9).tolist() == want
+    one = [s[0] for s in held.values()]
+    got = op2.overlaps(one, a // 10, b // 10, at_once=1000, columns=64, pairs=100)
+    assert got.tolist() == [len(sets[i][0] & sets[j][0]) for i, j in zip(a.tolist(), b.tolist())]
+
+
+def test_verification_of_a_large_group_in_slices(spark, monkeypatch):
+    r = random.Random(2)
+    base = [f"w{i}" for i in range(80)]
+    rows = [(i, " ".join(f"x{r.randrange(999)}" if r.random() < 0.04 else w for w in base), None, None, None) for i in range(120)]
+    rows.append((3, " ".join(base), None, None, None))
+    docs = spark.createDataFrame(rows, SCHEMA)
+    pairs = op2.materialize(spark.createDataFrame([(i, j) for j in range(120) for i in range(j)], "a bigint, b bigint"), "t")
+    sets = {}
+    for i, text, *_ in rows:
+        sets.setdefault(i, []).append(grams(text))
+    every = {(i, j): max(len(x & y) / len(x | y) for x in sets[i] for y in sets[j]) for j in range(120) for i in range(j)}
+    want = {k: v for k, v in every.items() if v >= op2.THRESHOLD}
+    monkeypatch.setattr(op2, "WAIT", 50)
+    got = op2.verified(docs, pairs).collect()
+    assert len(got) == len(want) > 1000 and {(r.doc_a, r.doc_b): r.jaccard for r in got} == want
+    monkeypatch.setattr(op2, "WAIT", 1 << 18)
+    assert {(r.doc_a, r.doc_b): r.jaccard for r in op2.verified(docs, pairs, together=40).collect()} == want
