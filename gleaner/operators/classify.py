@@ -1,7 +1,7 @@
 """Weighted keyword classification of documents by a taxonomy: one fused projection, no join and no shuffle.
 
 A taxonomy is small configuration (a list of categories with keywords), so its terms become literal patterns when the plan is
-built; the work per document is bounded by its own text. Fields are normalised once, in one Arrow pass.
+built; the work per document is bounded by its own text. Fields are normalised and terms counted once, in one Arrow pass.
 """
 
 from __future__ import annotations
@@ -10,14 +10,17 @@ import json
 import os
 import re
 import unicodedata
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.functions import text as T
 
 WEIGHTS = {"body": 1, "title": 4, "meta_keyword": 5, "source_tag": 6, "body_match_cap": 3}
+#: Characters of a body that the reference's classifier reads; what a caller may pass as `sample`.
 SAMPLE = 4000
 TITLE_CAP = 2
 RESULT = "primary_niche target_funnel recommended_affiliate seo_slug scores matched_terms confidence".split()
@@ -72,10 +75,40 @@ def taxonomy_table(spark: SparkSession, taxonomy: Taxonomy) -> DataFrame:
     return spark.createDataFrame(rows, "cat_pos int, kw_pos int, primary_niche string, target_funnel string, recommended_affiliate string, keyword string")
 
 
+#: Signs that part words, `text.match_form`'s in Python; of ASCII by table.
+SIGNS = re.compile(r"[^\w\s'\-]|_")
+ASCII_SIGNS = {i: " " for i in range(128) if not (chr(i).isalnum() or chr(i).isspace() or chr(i) in "'-")}
+
+
 def normal_term(s: str) -> str:
-    """`match_form` for a term of the configuration, on the driver."""
-    s = re.sub("[‐-―_/]+", " ", unicodedata.normalize("NFKC", s).casefold())
-    return " ".join("".join(c if c.isalnum() or c in "_'-" or c.isspace() else " " for c in s).split())
+    """Case-folded compatibility form with dashes, _ and / as blanks and other signs dropped, for terms and texts alike."""
+    if s.isascii():
+        return " ".join(s.lower().translate(ASCII_SIGNS).split())
+    return " ".join(SIGNS.sub(" ", unicodedata.normalize("NFKC", s).casefold()).split())
+
+
+def occurrences(text: str, term: str) -> int:
+    """Of a literal term with no letter or digit on either side (`text` in normal form)."""
+    n, at, k, end = 0, text.find(term), len(term), len(text)
+    while at >= 0:
+        whole = not (at and text[at - 1].isalnum()) and not (at + k < end and text[at + k].isalnum())
+        n += whole
+        at = text.find(term, at + (k if whole else 1))
+    return n
+
+
+def term_counts(title: Column, body: Column, tags: Column, keywords: Column, terms: list[str]) -> Column:
+    """For each term, how often the tags, keywords, title and body have it, as one array. Lists are joined by a sign that no term holds."""
+
+    @F.pandas_udf("array<int>")
+    def run(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        many = lambda x: "\x01".join(map(normal_term, x.split("\x01"))) if x else ""
+        for batch in batches:
+            rows = zip(*(map(f, x) for f, x in zip((many, many, normal_term, normal_term), batch)))
+            yield pd.Series([[occurrences(x, t) for t in terms for x in row] for row in rows], dtype=object)
+
+    # not for plans to repeat: a filter that is inferred from what is made of the counts would count again
+    return run.asNondeterministic()(tags, keywords, title, body)
 
 
 def plain_slug(s: str) -> str:
@@ -83,8 +116,8 @@ def plain_slug(s: str) -> str:
     return re.sub("[^a-z0-9]+", "-", s.lower()).strip("-") or "untitled"
 
 
-def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title", tags: str = "tags", categories: str = "categories", keywords: str = "source_keywords", body: str = "body_text") -> DataFrame:
-    """`df` with the columns of RESULT. NULL fields count as empty.
+def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title", tags: str = "tags", categories: str = "categories", keywords: str = "source_keywords", body: str = "body_text", sample: int | None = SAMPLE) -> DataFrame:
+    """`df` with the columns of RESULT. NULL fields count as empty. The whole body is read, or its first `sample` characters.
 
     Several tags that hold a keyword count once; the title counts at most twice, the body up to its cap. The best score wins,
     the first category among equals. A later category of a niche replaces the score and matches of an earlier one, and keeps its place and slug term.
@@ -92,23 +125,12 @@ def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title"
     c, w = F.col, taxonomy.weights
     none = F.array().cast("array<string>")
     lists = lambda x: F.array_join(F.transform(F.coalesce(x, none), lambda v: F.coalesce(v, F.lit(""))), "\x01")
-    folded = lambda x: T.match_form(T.folded(x))
-    # tags are kept apart by a sign that no term holds: line ends would be squeezed away
-    parts = lambda x: F.transform(F.split(T.folded(lists(x)), "\x01"), T.match_form)
-    df = df.withColumns(
-        {
-            "_title": folded(F.coalesce(c(title), F.lit(""))),
-            "_body": folded(F.substring(F.coalesce(c(body), F.lit("")), 1, SAMPLE)),
-            "_tags": F.array_join(parts(F.concat(F.coalesce(c(tags), none), F.coalesce(c(categories), none))), "\x01"),
-            "_keywords": F.array_join(parts(c(keywords)), "\x01"),
-            "_slug": T.slugify(F.when(T.truthy(c(title)), c(title)).otherwise("story")),
-        }
-    )
-    # each term is counted once in each field, and by pattern only where it occurs at all
+    whole = F.coalesce(c(body), F.lit(""))
+    # each term is counted once in each field
     terms = list(dict.fromkeys(t for cat in taxonomy.categories for k in cat.keywords if (t := normal_term(k))))
     fields = ("_tags", "_keywords", "_title", "_body")
-    count = lambda x, t: F.when(F.contains(c(x), F.lit(t)), T.term_count(c(x), t)).otherwise(0)
-    df = df.withColumn("_n", F.array(*(count(x, t) for t in terms for x in fields)) if terms else F.array().cast("array<int>"))
+    counts = term_counts(F.coalesce(c(title), F.lit("")), whole if sample is None else F.substring(whole, 1, sample), lists(F.concat(F.coalesce(c(tags), none), F.coalesce(c(categories), none))), lists(c(keywords)), terms)
+    df = df.withColumns({"_slug": T.slugify(F.when(T.truthy(c(title)), c(title)).otherwise("story")), "_n": counts if terms else F.array().cast("array<int>")})
     at = {t: [F.get(c("_n"), F.lit(len(fields) * i + j)) for j in range(len(fields))] for i, t in enumerate(terms)}
     niches: dict[str, list[Column]] = {}
     for i, cat in enumerate(taxonomy.categories):
@@ -157,4 +179,4 @@ def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title"
         "matched_terms": F.coalesce(best["labels"], none),
         "confidence": F.when(none_found, F.lit(0.0)).otherwise(F.bround(s1 / (s1 + s2 + F.lit(1e-6)), 4)),
     }
-    return df.withColumns(out).drop("_title", "_body", "_tags", "_keywords", "_slug", "_n", "_scored", "_best", "_ranked")
+    return df.withColumns(out).drop("_slug", "_n", "_scored", "_best", "_ranked")
