@@ -116,7 +116,7 @@ def plain_slug(s: str) -> str:
     return re.sub("[^a-z0-9]+", "-", s.lower()).strip("-") or "untitled"
 
 
-def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title", tags: str = "tags", categories: str = "categories", keywords: str = "source_keywords", body: str = "body_text", sample: int | None = SAMPLE) -> DataFrame:
+def classified(df: DataFrame, taxonomy: Taxonomy = DEFAULT, title: str = "title", tags: str = "tags", categories: str = "categories", keywords: str = "source_keywords", body: str = "body_text", sample: int | None = None) -> DataFrame:
     """`df` with the columns of RESULT. NULL fields count as empty. The whole body is read, or its first `sample` characters.
 
     Several tags that hold a keyword count once; the title counts at most twice, the body up to its cap. The best score wins,

@@ -46,13 +46,13 @@ def _count(tokens: str, term: str) -> str:
     return f"len(list_filter({tokens}, lambda x: x = '{term}'))"
 
 
-def _classes() -> str:
+def _classes(body: str = "text") -> str:
     scores, labels = [], []
     for _, _, _, terms in CLASSES:
         scores.append(" + ".join(f"4 * least({_count('tt', t)}, 2) + least({_count('bt', t)}, 3)" for t in terms))
         labels.append(" || ".join(f"CASE WHEN list_contains(tt, '{t}') THEN ['title:{t}'] ELSE []::VARCHAR[] END || CASE WHEN list_contains(bt, '{t}') THEN ['body:{t}x' || least({_count('bt', t)}, 3)] ELSE []::VARCHAR[] END" for t in terms))
     return f"""WITH n AS (SELECT doc_id, regexp_split_to_array(lower(string_split(text, chr(10))[1]), '[^\\p{{L}}\\p{{N}}_]+') AS tt,
-    regexp_split_to_array(lower(substr(text, 1, 4000)), '[^\\p{{L}}\\p{{N}}_]+') AS bt FROM documents),
+    regexp_split_to_array(lower({body}), '[^\\p{{L}}\\p{{N}}_]+') AS bt FROM documents),
 s AS (SELECT doc_id, {', '.join(f'{x} AS s{i}' for i, x in enumerate(scores))}, {', '.join(f'{x} AS m{i}' for i, x in enumerate(labels))} FROM n)
 """
 
@@ -86,7 +86,7 @@ f AS (SELECT DISTINCT host, 0::BIGINT AS n, 0::DOUBLE AS p FROM e UNION ALL SELE
     FROM f JOIN e ON e.host = f.host AND e.n = f.n + 1)
 SELECT host, round(arg_max(p, n), 6) AS penalty FROM f GROUP BY host"""
 
-_C = _classes()
+_C = _classes("substr(text, 1, 4000)")
 _BEST = "CASE WHEN s0 + s1 + s2 = 0 THEN 'general' WHEN s0 >= s1 AND s0 >= s2 THEN '{0}' WHEN s1 >= s2 THEN '{1}' ELSE '{2}' END"
 _pick = lambda i: _BEST.format(*(c[i] for c in CLASSES))
 
@@ -115,7 +115,7 @@ SQL = {
     + f"SELECT doc_id, {_pick(0)} AS primary_niche, {_pick(1)} AS target_funnel, {_pick(2)} AS recommended_affiliate, "
     + "CASE WHEN s0 + s1 + s2 = 0 THEN 0::DOUBLE ELSE round(list_sort([s0, s1, s2], 'DESC')[1] / (list_sort([s0, s1, s2], 'DESC')[1] + list_sort([s0, s1, s2], 'DESC')[2] + 1e-6::DOUBLE), 4) END AS confidence, "
     + "array_to_string(CASE WHEN s0 + s1 + s2 = 0 THEN [] WHEN s0 >= s1 AND s0 >= s2 THEN m0 WHEN s1 >= s2 THEN m1 ELSE m2 END, ',') AS matched FROM s",
-    "classify_scores": _C + " UNION ALL ".join(f"SELECT doc_id, '{c[0]}' AS niche, s{i}::INT AS score FROM s WHERE s{i} > 0" for i, c in enumerate(CLASSES)),
+    "classify_scores": _classes() + " UNION ALL ".join(f"SELECT doc_id, '{c[0]}' AS niche, s{i}::INT AS score FROM s WHERE s{i} > 0" for i, c in enumerate(CLASSES)),
     "store_upsert": STORE
     + f""", k AS (SELECT *, (SELECT max(id) FROM o) + row_number() OVER (ORDER BY dedup_key) AS new_id FROM f WHERE id IS NULL),
 a AS (SELECT dedup_key, source_site, title, content_hash, id, '2024-01-01T00:00:00+00:00' AS first_seen_at, {STAMP} AS updated_at, (writes + 1)::INT AS revision, 'unchanged' AS outcome, content_hash <> old_hash AS content_changed FROM f WHERE id IS NOT NULL

@@ -439,3 +439,21 @@ def test_health_of_repeated_urls(spark, tmp_path):
     got = registry.health_by_site(spark, repeated_pages(spark, tmp_path)).collect()
     found = sorted((r.site, r.status, r.http_status or 0, r.html_chars or 0) for r in got)
     assert found == [("absent", "FAIL", 0, 0), ("https://a.org/en/1", "FAIL", 503, 0), ("https://a.org/en/1", "PASS", 200, 6), ("https://b.org/en/2", "PASS", 200, 1)]
+
+
+def test_classify_reads_whole_texts(spark, tmp_path):
+    spark.createDataFrame([(1, "a\n" + "x " * 3000 + "the worthless", "en", "s")], "doc_id bigint, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [(r.niche, r.score) for r in registry.classify_scores(spark, str(tmp_path)).collect()] == [("english", 2)]
+
+
+def test_classify_counts_once(spark):
+    """What is inferred from the exploded scores must not evaluate the texts again."""
+    df = registry.classify_scores(spark, "/root/testdata/sf0.001")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+
+
+def test_occurrences():
+    assert [classify.occurrences(x, "le") for x in ("le", "people le", "le le-le 'le'", "lele", "", "le2 éle")] == [1, 1, 4, 0, 0, 0]
+    for x in ("A_b/c — d", "Straße’s ﬁ-x", "it's\tOK\n!"):
+        assert classify.normal_term(x) == " ".join(classify.SIGNS.sub(" ", unicodedata.normalize("NFKC", x).casefold()).split())
