@@ -34,6 +34,11 @@ def _on(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def count_files(spark: SparkSession, pattern: str) -> int:
+    fs, p = _on(spark, pattern)
+    return len(fs.globStatus(p) or [])
+
+
 def materialize(df: DataFrame, tag: str) -> DataFrame:
     """Written and read again: cuts lineage, survives the loss of executors, is computed once for several readers."""
     path = fresh_path(df.sparkSession, tag)

@@ -457,3 +457,25 @@ def test_occurrences():
     assert [classify.occurrences(x, "le") for x in ("le", "people le", "le le-le 'le'", "lele", "", "le2 éle")] == [1, 1, 4, 0, 0, 0]
     for x in ("A_b/c — d", "Straße’s ﬁ-x", "it's\tOK\n!"):
         assert classify.normal_term(x) == " ".join(classify.SIGNS.sub(" ", unicodedata.normalize("NFKC", x).casefold()).split())
+
+
+def test_stream_pieces_have_several_files(spark, tmp_path):
+    """Each piece is one micro-batch in order, of as many files as the table has splits; one that lacks rows has empty files."""
+    for i in range(3):
+        spark.range(i * 4, i * 4 + 4, 1, 1).selectExpr("id as n", "repeat('x', 10) as t").write.mode("append").parquet(f"{tmp_path}/rows.parquet")
+    n = spark.read.parquet(f"{tmp_path}/rows.parquet").rdd.getNumPartitions()
+    batches = []
+    q = registry._stream(spark, str(tmp_path), "rows", "n").writeStream.foreachBatch(lambda df, i: batches.append((i, sorted(r.n for r in df.collect()), len(df.inputFiles())))).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert n > 1 and [b[0] for b in batches] == [0, 1, 2, 3] and sum((b[1] for b in batches), []) == list(range(12))
+
+
+def test_stream_states_share_buckets(spark, tmp_path):
+    keys = 2 * streams.BUCKETS
+    rows = spark.range(keys * 3).selectExpr("cast(id %% %d as string) as dedup_key" % keys, "if(id < %d, 'found', 'mark') as action" % keys, "'failed' as state", "cast(id as string) as error", "true as bump", "id as n")
+    rows.write.parquet(f"{tmp_path}/in")
+    q = streams.queue_states(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), "n").writeStream.outputMode("update").foreachBatch(lambda df, i: df.write.mode("append").parquet(f"{tmp_path}/out")).option("checkpointLocation", f"{tmp_path}/check").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {r.dedup_key: (r.state, r.attempts, r.last_error, r.due) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
+    assert got == {str(k): ("failed", 2, str(2 * keys + k), False) for k in range(keys)}
+    assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress) <= streams.BUCKETS
