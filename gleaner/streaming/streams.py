@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from gleaner.operators.pacing import MOST
 from gleaner.operators.store import merged
 
+#: Calls of Python a micro-batch, and rows of state; a row has its share of all keys.
+BUCKETS = 256
+
 
 def dedup(stream: DataFrame, keys: list[str], time: str, within: str = "1 hour") -> DataFrame:
     """Each key once, as far as its repeats come within the watermark; unbounded dedup needs `Store`."""
@@ -23,19 +26,26 @@ def windowed_counts(stream: DataFrame, time: str, labels: list[str], length: str
     return stream.withWatermark(time, late).groupBy(F.window(time, length), *labels).agg(F.count("*").alias("n"))
 
 
+def _bucket(key: str) -> Column:
+    """Keys share a call of Python and a row of state by BUCKETS of them: a call for each key costs more than what it does."""
+    return F.pmod(F.xxhash64(key), F.lit(BUCKETS)).alias("_b")
+
+
 def host_penalties(stream: DataFrame, host: str, time: str, outcome: str, seconds: float = 5.0, most: float = MOST) -> DataFrame:
     """(host, penalty) after each micro-batch; outcomes are applied in order of time within a batch."""
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        p = state.get[0] if state.exists else 0.0
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = dict(zip(*state.get)) if state.exists else {}
         rows = pd.concat(list(batches)).sort_values([time, outcome], kind="stable")
-        for x in rows[outcome]:
-            p = min(most, p + seconds) if x == "penalize" else max(0.0, p * 0.6 - 0.25) if x == "relax" and p > 0 else p
-        state.update((p,))
-        yield pd.DataFrame({"host": [str(key[0])], "penalty": [p]})
+        for h, x in zip(rows["_key"], rows[outcome]):
+            p = now.get(h, 0.0)
+            now[h] = min(most, p + seconds) if x == "penalize" else max(0.0, p * 0.6 - 0.25) if x == "relax" and p > 0 else p
+        state.update((list(now), list(now.values())))
+        met = rows["_key"].unique().tolist()
+        yield pd.DataFrame({"host": pd.Series(met, dtype=object), "penalty": [now[h] for h in met]})
 
-    rows = stream.select(host, time, outcome)
-    return rows.groupBy(host).applyInPandasWithState(run, "host string, penalty double", "penalty double", "update", GroupStateTimeout.NoTimeout)
+    rows = stream.select(F.col(host).cast("string").alias("_key"), time, outcome).select("*", _bucket("_key"))
+    return rows.groupBy("_b").applyInPandasWithState(run, "host string, penalty double", "hosts array<string>, penalties array<double>", "update", GroupStateTimeout.NoTimeout)
 
 
 def queue_states(stream: DataFrame, order: str, max_attempts: int = 3) -> DataFrame:
@@ -46,20 +56,23 @@ def queue_states(stream: DataFrame, order: str, max_attempts: int = 3) -> DataFr
     then, with due: whether it is still to be done.
     """
 
-    def run(key, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = state.get if state.exists else None
-        for r in pd.concat(list(batches)).sort_values(order, kind="stable").itertuples():
-            if r.action == "found":
-                now = now or ("pending", 0, None)
-            elif now:
-                now = (r.state, now[1] + int(bool(r.bump)), r.error)
+    def run(_, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = {k: v for k, *v in zip(*state.get)} if state.exists else {}
+        rows = pd.concat(list(batches)).sort_values(order, kind="stable")
+        for k, action, to, error, bump in zip(*(rows[c] for c in ("dedup_key", "action", "state", "error", "bump"))):
+            if action == "found":
+                now.setdefault(k, ("pending", 0, None))
+            elif k in now:
+                now[k] = to, now[k][1] + int(bool(bump)), error
         if now:
-            state.update(now)
-            yield pd.DataFrame({"dedup_key": [key[0]], "state": [now[0]], "attempts": [now[1]], "last_error": [now[2]], "due": [now[0] == "pending" and now[1] < max_attempts]})
-
-    rows = stream.select("dedup_key", "action", "state", "error", "bump", order)
-    kept = "state string, attempts int, last_error string"
-    return rows.groupBy("dedup_key").applyInPandasWithState(run, f"dedup_key string, {kept}, due boolean", kept, "update", GroupStateTimeout.NoTimeout)
+            state.update((list(now), *map(list, zip(*now.values()))))
+            met = [k for k in rows["dedup_key"].unique().tolist() if k in now]
+            out = pd.DataFrame([(k, *now[k]) for k in met], columns=["dedup_key", "state", "attempts", "last_error"], dtype=object)
+            yield out.assign(due=[now[k][0] == "pending" and now[k][1] < max_attempts for k in met])
+
+    rows = stream.select("dedup_key", "action", "state", "error", "bump", order, _bucket("dedup_key"))
+    kept = "dedup_keys array<string>, states array<string>, attempts array<int>, last_errors array<string>"
+    return rows.groupBy("_b").applyInPandasWithState(run, "dedup_key string, state string, attempts int, last_error string, due boolean", kept, "update", GroupStateTimeout.NoTimeout)
 
 
 class Store:
