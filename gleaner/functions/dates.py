@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleaner.functions.text import SPACE, strip
+from gleaner.functions.text import SPACE, bound, strip
 
 NOISE_WORDS = ["last modified", *"added at by created date on posted published submitted updated".split()]
 NOISE = rf"(?i)\b(?:{'|'.join(NOISE_WORDS)})\b[:{SPACE}]*"
@@ -79,11 +77,6 @@ def relative_form(s: Column, now: Column) -> Column:
     return F.when(s.rlike(RELATIVE), iso_time(F.timestamp_seconds(F.unix_timestamp(now) - n * F.try_element_at(each, unit))))
 
 
-def bound(c: Column, f: Callable[[Column], Column]) -> Column:
-    """f(c) with c computed once, however often f names it."""
-    return F.get(F.transform(F.array(c), f), F.lit(0))
-
-
 def absolute_form(s: Column) -> Column:
     """Of cleaned text. Which forms are tried follows from a few shapes, so most strings meet one parser."""
 

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+#: All white space, as characters.
+BLANKS = "".join(map(chr, (*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: Horizontal white space, and all white space, spelt out so that no engine's own classes matter.
 RUN = r"[\t \x{a0}\x{2000}-\x{200a}\x{202f}\x{205f}\x{3000}]+"
 SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -18,6 +21,11 @@ MISSING = "not listed on source page"
 STOP_TERMS = "all categories home more stories story tags".split()
 
 
+def bound(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c computed once, however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def unicode_form(form: str):
     """An Arrow UDF for a Unicode normal form; NULL stays NULL."""
 
@@ -41,7 +49,7 @@ def with_nfc(df: DataFrame, name: str) -> DataFrame:
 
 
 def strip(c) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.btrim(c, F.lit(BLANKS))
 
 
 def squeeze(c) -> Column:
@@ -71,7 +79,7 @@ def content_hash(paragraphs: Column) -> Column:
 
 
 def body_paragraphs(paragraphs: Column) -> Column:
-    return F.filter(paragraphs, lambda p: strip(p) != "")
+    return F.filter(paragraphs, lambda p: p.rlike(f"[^{SPACE}]"))
 
 
 def body_text(paragraphs: Column) -> Column:
