@@ -56,7 +56,7 @@ class Site:
 
 def parse_pages(pages: DataFrame, site: Site) -> DataFrame:
     """Parsed documents of pages (url, html; final_url and status if there): the default parser of a site."""
-    p = pages.withColumn("_p", parsed_page(F.col("html")))
+    p = pages.withColumn("_p", parsed_page(F.col("html"), want=("title", "canonical", "paragraphs", "fallback")))
     status = F.col("status") if "status" in pages.columns else F.lit(None).cast("int")
     canonical = F.coalesce(F.col("_p.canonical"), F.col("final_url") if "final_url" in pages.columns else F.col("url"))
     return p.select(

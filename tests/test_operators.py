@@ -4,6 +4,7 @@ import json
 import unicodedata
 from urllib.parse import parse_qsl, urlencode, urlsplit, urlunsplit
 
+import pyarrow as pa
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -479,3 +480,11 @@ def test_stream_states_share_buckets(spark, tmp_path):
     got = {r.dedup_key: (r.state, r.attempts, r.last_error, r.due) for r in spark.read.parquet(f"{tmp_path}/out").collect()}
     assert got == {str(k): ("failed", 2, str(2 * keys + k), False) for k in range(keys)}
     assert sum(p["stateOperators"][0]["numRowsUpdated"] for p in q.recentProgress) <= streams.BUCKETS
+
+
+def test_pages_are_parsed_in_pieces():
+    long = "x" * H.PIECE
+    got = [p.to_pylist() for p in H.pieces(pa.array(["a", long, None, "b"] + ["c"] * 2 * H.PIECE_ROWS))]
+    assert sum(got, []) == ["a", long, None, "b"] + ["c"] * 2 * H.PIECE_ROWS
+    assert [len(p) for p in got] == [1, 2, H.PIECE_ROWS, H.PIECE_ROWS, 1] and list(H.pieces(pa.array([], pa.string())))[0].to_pylist() == []
+    assert H.parse("<a href='/x'>x</a>", want=("links",)) == {"links": H.parse("<a href='/x'>x</a>")["links"]}
