@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from gleaner.functions.text import strip
+from gleaner.functions.text import bound, strip
 
 PARTS = r"(?s)^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?(?:#.*)?$"
 TRACKING_PREFIXES = "_ga fbclid gclid mc_ ref_ utm_".split()
@@ -27,16 +27,13 @@ def server(url: Column) -> Column:
 
 def host_of(url: Column) -> Column:
     """Lower-case host without port; '' if there is none."""
-    s = server(url)
-    host = F.when(s.startswith("["), F.regexp_extract(s, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(s, "^([^:]*)", 1))
-    return F.lower(host)
+    return F.lower(bound(server(url), lambda s: F.when(s.startswith("["), F.regexp_extract(s, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(s, "^([^:]*)", 1))))
 
 
 def registrable_match(url: Column, base: Column | str) -> Column:
     """The URL's host is `base` or lies under it."""
     base = F.lit(base) if isinstance(base, str) else base
-    h = host_of(url)
-    return (h == base) | h.endswith(F.concat(F.lit("."), base))
+    return bound(host_of(url), lambda h: (h == base) | h.endswith(F.concat(F.lit("."), base)))
 
 
 def decode(c: Column) -> Column:
@@ -65,22 +62,27 @@ def query(raw: Column, keep: set[str] | None = None) -> Column:
 
 
 def normalize_url(url: Column, keep_params: set[str] | None = None, drop_query: bool = False) -> Column:
-    """Canonical form for comparison. A bad port gives NULL."""
-    u = F.regexp_replace(strip(url), r"[\t\r\n]", "")
-    scheme = F.lower(F.coalesce(F.nullif(part(u, 1), F.lit("")), F.lit("https")))
-    s = server(u)
-    digits = F.regexp_extract(s, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1)
-    number = F.when(digits.rlike("^[0-9]{1,9}$"), digits.try_cast("int"))
-    bad = (digits != "") & (number.isNull() | (number > 65535))
-    usual = ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)) | (number == 0)
-    host = F.concat(host_of(u), F.when((digits == "") | usual, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))))
-    path = F.coalesce(F.nullif(part(u, 3), F.lit("")), F.lit("/"))
-    place = F.when(host != "", F.concat(F.lit("//"), host, F.when(path.startswith("/"), F.lit("")).otherwise("/"), path)).otherwise(F.when(path.startswith("/"), F.concat(F.lit("//"), path)).otherwise(path))
-    out = F.concat(scheme, F.lit(":"), place)
-    if not drop_query:
-        q = query(part(u, 4), keep_params)
-        out = F.concat(out, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
-    return F.when(~bad, out)
+    """Canonical form for comparison. A bad port gives NULL. Parts are bound, as each is named often."""
+
+    def of(p: Column) -> Column:
+        scheme = F.lower(F.coalesce(F.nullif(p["scheme"], F.lit("")), F.lit("https")))
+        digits, number = p["digits"], F.when(p["digits"].rlike("^[0-9]{1,9}$"), p["digits"].try_cast("int"))
+        bad = (digits != "") & (number.isNull() | (number > 65535))
+        usual = ((scheme == "http") & (number == 80)) | ((scheme == "https") & (number == 443)) | (number == 0)
+        host = F.concat(p["host"], F.when((digits == "") | usual, F.lit("")).otherwise(F.concat(F.lit(":"), number.cast("string"))))
+        path = F.coalesce(F.nullif(p["path"], F.lit("")), F.lit("/"))
+        place = F.when(host != "", F.concat(F.lit("//"), host, F.when(path.startswith("/"), F.lit("")).otherwise("/"), path)).otherwise(F.when(path.startswith("/"), F.concat(F.lit("//"), path)).otherwise(path))
+        out = F.concat(scheme, F.lit(":"), place)
+        if not drop_query:
+            q = F.when(p["query"] == "", F.lit("")).otherwise(query(p["query"], keep_params))
+            out = F.concat(out, bound(q, lambda x: F.when(x != "", F.concat(F.lit("?"), x)).otherwise("")))
+        return F.when(~bad, out)
+
+    def split(u: Column) -> Column:
+        digits = bound(server(u), lambda s: F.regexp_extract(s, r"^(?:\[[^\]]*\]|[^:]*):(.*)$", 1))
+        return F.struct(part(u, 1).alias("scheme"), host_of(u).alias("host"), digits.alias("digits"), part(u, 3).alias("path"), part(u, 4).alias("query"))
+
+    return bound(bound(F.regexp_replace(strip(url), r"[\t\r\n]", ""), split), of)
 
 
 @F.pandas_udf(StringType())
